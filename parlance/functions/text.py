@@ -94,6 +94,8 @@ def is_failed(text: Column, strict: bool = False) -> Column:
     """Failed recognition by prefix. The default prefix has a closing bracket, which real error texts
     (``[Transcription error: ...]``) do not carry; ``strict`` catches those and failed chunks too."""
     low = F.lower(text)
-    if not strict:
-        return low.startswith(FAILED_PREFIX)
-    return low.startswith(FAILED_PREFIX_STRICT) | (text == FAILED_CHUNK)
+    if strict:
+        failed = low.startswith(FAILED_PREFIX_STRICT) | (text == FAILED_CHUNK)
+    else:
+        failed = low.startswith(FAILED_PREFIX)
+    return F.coalesce(failed, F.lit(False))

@@ -175,7 +175,13 @@ def concat_ordered(df, keys, order, block, text: str, separator: str, name: str)
     per_block = (
         df.withColumn(BLOCK, block)
         .groupBy(*unit)
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["part"]), separator).alias("part"))
+        .agg(
+            # A block without any part stays NULL, so that it adds no separator.
+            F.when(
+                F.count(text) > 0,
+                F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["part"]), separator),
+            ).alias("part")
+        )
     )
     joined = F.array_join(
         F.transform(F.sort_array(F.collect_list(F.struct(BLOCK, "part"))), lambda x: x["part"]), separator
