@@ -1,4 +1,10 @@
 """Registered queries; importing the package fills ``registry.QUERIES`` and ``registry.ORACLE``."""
 
-from parlance.catalog import conversation_queries, signal_queries, transcript_queries  # noqa: F401
+from parlance.catalog import (  # noqa: F401
+    conversation_queries,
+    manifest_queries,
+    signal_queries,
+    source_queries,
+    transcript_queries,
+)
 from parlance.catalog.registry import ORACLE, QUERIES  # noqa: F401

@@ -98,9 +98,9 @@ fold AS (
   SELECT clip_id, chunk_idx, cur AS prev, cur AS merged FROM prepared WHERE chunk_idx = 0
   UNION ALL
   SELECT clip_id, chunk_idx, piece, merged || ' ' || piece FROM (
-    SELECT *, CASE WHEN prev = '' THEN cur WHEN cur = '' THEN prev WHEN k = 0 OR at = 0 THEN cur
-      ELSE regexp_replace(substr(cur, at + length(phrase)), '^\s+|\s+$', '', 'g') END AS piece
-    FROM (SELECT *, instr(lower(cur), lower(phrase)) AS at FROM (SELECT *, array_to_string(cw[1 : k], ' ') AS phrase
+    SELECT *, CASE WHEN prev = '' THEN cur WHEN cur = '' THEN prev WHEN k = 0 OR spot = 0 THEN cur
+      ELSE regexp_replace(substr(cur, spot + length(phrase)), '^\s+|\s+$', '', 'g') END AS piece
+    FROM (SELECT *, instr(lower(cur), lower(phrase)) AS spot FROM (SELECT *, array_to_string(cw[1 : k], ' ') AS phrase
     FROM (SELECT *, {_longest('pn', 'cn', _width('len(pn)', fraction))} AS k
     FROM (SELECT p.clip_id, p.chunk_idx, p.cur, p.cw, p.cn, f.prev, f.merged, {_normals(_words('f.prev'))} AS pn
       FROM fold f JOIN prepared p ON p.clip_id = f.clip_id AND p.chunk_idx = f.chunk_idx + 1))))))

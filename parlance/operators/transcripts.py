@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
-from parlance.ordered import BLOCK, concat_ordered, sequence_block, with_last_known, with_previous
+from parlance.ordered import BLOCK, block_scan, concat_ordered, sequence_block, with_previous
 
 CHUNKS_PER_BLOCK = 1_024
 TOKENS_PER_BLOCK = 65_536
@@ -105,20 +105,22 @@ def merge_pieces(df: DataFrame, fraction: float = DEFAULT_FRACTION) -> DataFrame
     texts = df.select("clip_id", F.col("chunk_idx").cast("long").alias("chunk_idx"),
                       F.coalesce("text", F.lit("")).alias("text"))
     said = texts.withColumn("__said", F.when(F.col("text") != "", F.col("text")))
-    block = sequence_block("chunk_idx", CHUNKS_PER_BLOCK)
-    linked = with_last_known(said, CLIP, ["chunk_idx"], block, {"prev": "__said"})
-    empty = F.col("text") == ""
-    stepped = linked.select(
-        "clip_id", block.alias(BLOCK), "chunk_idx", "text", "prev",
-        F.when(~empty, _transition(fraction)).alias("effect"),
-    )
+    at = F.when(F.col("__said").isNotNull(), F.col("chunk_idx"))
+    linked = block_scan(
+        said, CLIP, ["chunk_idx"], sequence_block("chunk_idx", CHUNKS_PER_BLOCK),
+        local=[{"__prev": lambda s: F.last("__said", ignorenulls=True).over(s.before)}],
+        summary={"__last": F.max_by("__said", at)},
+        carry=[{"__carried": lambda s: F.last("__last", ignorenulls=True).over(s.before),
+                "__blocks": lambda s: F.count(F.lit(1)).over(s.whole)}],
+        keep=["__carried", "__blocks"],
+    ).select("clip_id", BLOCK, "chunk_idx", "text", F.coalesce("__prev", "__carried").alias("prev"), "__blocks")
+    stepped = linked.withColumn("effect", F.when(F.col("text") != "", _transition(fraction)))
     blocks = stepped.groupBy("clip_id", BLOCK).agg(
         F.sort_array(F.collect_list(F.struct("chunk_idx", "text", "effect"))).alias("chunks"),
         F.min_by("prev", "chunk_idx").alias("carried"),
     )
     # Only clips beyond one block need the state that enters a block from outside.
-    long_clips = texts.filter(F.col("chunk_idx") >= CHUNKS_PER_BLOCK).select("clip_id").distinct()
-    entering = _entering_states(stepped.join(long_clips, "clip_id", "left_semi"))
+    entering = _entering_states(stepped.filter(F.col("__blocks") > 1))
     begun = blocks.join(entering, ["clip_id", BLOCK], "left")
     carried = F.coalesce("carried", F.lit(""))
     state0 = F.coalesce("entering", F.lit(0))

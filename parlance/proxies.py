@@ -27,6 +27,17 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("clip_id", (F.col("n") - 1).alias("idx"), "amp")
 
 
+SAMPLES_PER_RECORDING = 8_192
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``session_id, turn_number, role, samples``: each clip cut into recordings of at most 8,192 samples."""
+    turn = F.floor(F.col("idx") / F.lit(SAMPLES_PER_RECORDING)).cast("int") + 1
+    ordered = F.sort_array(F.collect_list(F.struct("idx", "amp")))
+    return samples(spark, sf_dir).groupBy(F.col("clip_id").alias("session_id"), turn.alias("turn_number")).agg(
+        F.transform(ordered, lambda s: s["amp"]).alias("samples")).withColumn("role", F.lit("user"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("clip_id"), F.col("embedding").alias("samples"), "label"
@@ -110,7 +121,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return table(spark, sf_dir, "part").select(
         p.alias("artifact_id"), F.col("p_type").alias("artifact_type"), F.col("p_name").alias("name"),
-        F.concat(F.when(p % 5 == 0, "nvidia/").otherwise("hub/"), F.col("p_brand")).alias("repo"),
+        F.concat(F.when(p % 5 == 0, "vendor/").otherwise("hub/"), F.col("p_brand")).alias("repo"),
         file(p).alias("primary_file"), (F.col("p_retailprice") * 1_000_000).cast("long").alias("expected_bytes"),
         p.alias("dir"), (F.col("p_size") >= 25).alias("is_required"),
         F.array(file(p * 13)).alias("additional_files"), F.array(file(p * 7)).alias("alternates"),
