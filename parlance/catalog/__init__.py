@@ -2,6 +2,7 @@
 
 from parlance.catalog import (  # noqa: F401
     conversation_queries,
+    flow_queries,
     manifest_queries,
     signal_queries,
     source_queries,

@@ -90,7 +90,7 @@ def decode_pcm(spark, sf):
 @register("decode_pcm_resampled", f"""WITH {RECORDINGS.replace("rec_list AS (SELECT session_id, turn_number, count(*) AS n", "rec_list AS (SELECT session_id, turn_number, CAST(trunc(count(*) / (44100.0 / 16000)) AS BIGINT) AS n")}, {_CHUNKED},
 outs AS (SELECT *, unnest(range(start_frame, end_frame)) AS i FROM planned), placed AS (SELECT *, i * (CAST(44100 AS DOUBLE) / 16000) AS x FROM outs)
 SELECT p.session_id, p.turn_number, chunk_idx, start_frame, end_frame, i - start_frame AS pos,
-  round(CASE WHEN b.amp IS NULL THEN a.amp ELSE a.amp * (1 - (x - floor(x))) + b.amp * (x - floor(x)) END, 5) AS amp
+  round(CAST(CAST(CASE WHEN b.amp IS NULL THEN a.amp ELSE a.amp * (1 - (x - floor(x))) + b.amp * (x - floor(x)) END AS FLOAT) AS DOUBLE), 5) AS amp
 FROM placed p JOIN recs a ON a.session_id = p.session_id AND a.turn_number = p.turn_number AND a.pos = CAST(floor(x) AS BIGINT)
 LEFT JOIN recs b ON b.session_id = p.session_id AND b.turn_number = p.turn_number AND b.pos = CAST(floor(x) AS BIGINT) + 1""")
 def decode_pcm_resampled(spark, sf):

@@ -137,13 +137,13 @@ def _resample(values: np.ndarray, first: int, start: int, end: int, ratio: float
 
 
 def decode_pcm(headers: DataFrame, chunk_s: float = audio.CHUNK_SECONDS, overlap_s: float = audio.OVERLAP_SECONDS,
-               rate: int = audio.SAMPLE_RATE, content: str = "content") -> DataFrame:
+               rate: int = audio.SAMPLE_RATE, content: str = "content", whole_up_to: int = 0) -> DataFrame:
     """Header rows with their bytes -> one row per planned chunk: ``chunk_idx, start_frame, end_frame, samples``.
 
     The plan follows from the header alone, in frames of the target rate. Each chunk takes only its own byte range out of
     the file, natively, before anything reaches Python: a chunk row is a few MB however long the recording. With another
     source rate, a chunk reads one source sample more on the right, so that chunks equal slices of the resampled whole.
-    Rejected files have no chunks.
+    Clips of at most ``whole_up_to`` frames stay whole. Rejected files have no chunks.
     """
     size, overlap = chunk_frames(chunk_s, overlap_s, rate)
     stride = size - overlap
@@ -155,11 +155,12 @@ def decode_pcm(headers: DataFrame, chunk_s: float = audio.CHUNK_SECONDS, overlap
             (F.col("__source") / F.col("__ratio")).cast("long"))
     ).filter(F.col("clip_frames") > 0)
     n = F.col("clip_frames")
-    count = F.when(n <= size, F.lit(1).cast("long")).otherwise(audio.div(n - size + (stride - 1), stride) + 1)
+    whole = n <= max(size, whole_up_to)
+    count = F.when(whole, F.lit(1).cast("long")).otherwise(audio.div(n - size + (stride - 1), stride) + 1)
     key = [c for c in headers.columns if c not in (content, *[f.name for f in schemas.WAV_HEADER.fields], "warning")]
-    planned = ok.withColumn("chunk_idx", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).cast("int")).withColumn(
-        "start_frame", F.col("chunk_idx").cast("long") * stride
-    ).withColumn("end_frame", F.least(F.col("start_frame") + size, n))
+    planned = ok.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).withColumn(
+        "start_frame", F.col("__i") * stride
+    ).withColumn("chunk_idx", F.col("__i").cast("int")).withColumn("end_frame", F.when(whole, n).otherwise(F.least(F.col("start_frame") + size, n)))
     first = F.floor(F.col("start_frame") * F.col("__ratio")).cast("long")
     last = F.least(F.floor((F.col("end_frame") - 1) * F.col("__ratio")).cast("long") + 2, F.col("__source"))
     cut = planned.select(

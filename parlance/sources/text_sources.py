@@ -77,7 +77,7 @@ def parse_control(df: DataFrame, payload: str = "payload") -> DataFrame:
 def scan_vocab(spark: SparkSession, path: str) -> DataFrame:
     """``vocab_id, token_id, piece``: one piece per line, the line number is the id. ``vocab_id`` is the folder or file
     name without extension. A vocabulary is one text file of about a thousand lines; files are read in parallel."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_path").alias("path"))
     body = F.regexp_replace("value", r"\r?\n$", "")
     return files.filter(F.length("value") > 0).select(
