@@ -147,20 +147,21 @@ def _entering_states(stepped: DataFrame) -> DataFrame:
     A block's function maps the state before it to the state after it. One short array per 1,024 chunks is gathered
     per clip.
     """
-    effects = stepped.filter(F.col("effect").isNotNull()).groupBy("clip_id", BLOCK).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "effect"))), lambda c: c["effect"]).alias("effects")
-    )
+    listed = F.filter(F.sort_array(F.collect_list(F.struct("chunk_idx", "effect"))), lambda c: c["effect"].isNotNull())
+    effects = stepped.groupBy("clip_id", BLOCK).agg(F.transform(listed, lambda c: c["effect"]).alias("effects"))
+    # NULL for a block of empty chunks only: it leaves the state as it is.
     composed = effects.select(
         "clip_id", BLOCK,
-        F.aggregate(F.slice("effects", F.lit(2), F.size("effects")), F.get("effects", F.lit(0)),
-                    lambda acc, e: F.transform(acc, lambda s: _state(e, s))).alias("effect"),
+        F.when(F.size("effects") > 0, F.aggregate(
+            F.slice("effects", F.lit(2), F.size("effects")), F.get("effects", F.lit(0)),
+            lambda acc, e: F.transform(acc, lambda s: _state(e, s)))).alias("effect"),
     )
     chain = composed.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct(BLOCK, "effect"))).alias("chain"))
     start = F.struct(F.lit(0).alias("state"), F.array().cast(f"array<struct<{BLOCK}:bigint,entering:int>>").alias("out"))
 
     def step(acc, b):
         return F.struct(
-            _state(b["effect"], acc["state"]).alias("state"),
+            F.when(b["effect"].isNull(), acc["state"]).otherwise(_state(b["effect"], acc["state"])).alias("state"),
             F.concat(acc["out"], F.array(F.struct(b[BLOCK].alias(BLOCK), acc["state"].alias("entering")))).alias("out"))
 
     return chain.select("clip_id", F.explode(F.aggregate("chain", start, step)["out"]).alias("o")).select(

@@ -19,6 +19,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "parlance") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in SETTINGS.items():
@@ -39,14 +42,15 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local-mode session without that setting falls back to a temporary folder of this machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="parlance-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="parlance-")
+    return _LOCAL_FOLDERS[app]
 
 
 def new_shared_path(spark: SparkSession, label: str) -> str:
