@@ -41,10 +41,10 @@ ORACLE["live_session_turns"] = ORACLE["live_session_turns"].replace(
 
 @register("transcribe_recordings", None)
 def transcribe_recordings(spark, sf):
-    """Decode, score and merge whole recordings; the model names the loudest tenth of a chunk."""
+    """Decode, score and merge whole recordings; the model spells out every eighth sample."""
     def load():
         def model(samples):
-            return " ".join(f"w{int(abs(v) * 10)}" for v in samples[::8])
+            return " ".join(f"w{int(abs(v) * 9999):04d}" for v in samples[::8])
 
         return model
 

@@ -133,7 +133,7 @@ def scan_sessions(spark, sf):
                         "user_transcript", "assistant_response")
 
 
-@register("scan_session_logs", """WITH l AS (SELECT user_id, event_id, ts, event_type || ' ' || props AS message,
+@register("scan_session_logs", """WITH l AS (SELECT user_id % 50 AS user_id, event_id, ts, event_type || ' ' || props AS message,
   CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level FROM events)
 SELECT CAST(user_id AS VARCHAR) AS session_id, CASE WHEN event_id % 50 = 0 THEN 'no_match' WHEN event_id % 50 = 1 THEN 'bad_timestamp' END AS reject_reason,
   CASE WHEN event_id % 50 > 1 THEN epoch_us(ts) END AS ts, CASE WHEN event_id % 50 > 0 THEN level END AS level,
@@ -141,7 +141,7 @@ SELECT CAST(user_id AS VARCHAR) AS session_id, CASE WHEN event_id % 50 = 0 THEN
 def scan_session_logs(spark, sf):
     root = new_shared_path(spark, "logs")
     entries = proxies.logs(spark, sf).join(
-        proxies.table(spark, sf, "events").select(F.col("event_id").alias("log_id"), F.col("user_id").alias("session")), "log_id")
+        proxies.table(spark, sf, "events").select(F.col("event_id").alias("log_id"), (F.col("user_id") % 50).alias("session")), "log_id")
     tail = F.concat(F.lit(" ["), "level", F.lit("] "), "message")
     line = F.when(F.col("log_id") % 50 == 0, F.concat("level", F.lit(": "), "message")).when(
         F.col("log_id") % 50 == 1, F.concat(F.lit("yesterday"), tail)).otherwise(

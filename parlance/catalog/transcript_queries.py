@@ -146,13 +146,8 @@ _VOCAB = """CASE WHEN p_partkey % 9 = 0 THEN '<unk>' WHEN p_partkey % 9 = 1 THEN
   WHEN p_partkey % 2 = 0 THEN '▁' || p_type ELSE p_brand END"""
 
 
-def _token_ids(spark, sf):
-    return proxies.table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("clip_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq0"), "l_partkey",
-    ).select("clip_id", (F.col("seq0") * 1_000_000 + F.col("l_partkey")).alias("seq"), F.col("l_partkey").alias("token_id"))
-
-
-_IDS = """ids AS (SELECT l_suppkey AS clip_id, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS seq, l_partkey AS token_id FROM lineitem)"""
+_IDS = """ids AS (SELECT l_suppkey AS clip_id, l_partkey AS token_id, row_number() OVER (PARTITION BY l_suppkey
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS seq FROM lineitem)"""
 
 
 @register("detokenize", rf"""WITH {_IDS}, v AS (SELECT p_partkey AS token_id, {_VOCAB} AS piece FROM part),
@@ -165,13 +160,13 @@ def detokenize(spark, sf):
         key.alias("token_id"),
         F.when(key % 9 == 0, "<unk>").when(key % 9 == 1, "").when(key % 9 == 2, F.concat(F.lit("##"), "p_brand"))
         .when(key % 2 == 0, F.concat(F.lit("▁"), "p_type")).otherwise(F.col("p_brand")).alias("piece"))
-    return transcripts.detokenize(_token_ids(spark, sf), vocab)
+    return transcripts.detokenize(proxies.token_ids(spark, sf), vocab)
 
 
 @register("detokenize_characters", f"""WITH {_IDS} SELECT clip_id, coalesce(string_agg(chr(CAST(32 + token_id % 90 AS INTEGER)), '' ORDER BY seq)
   FILTER (WHERE token_id % 5 <> 0), '') AS text FROM ids GROUP BY clip_id""")
 def detokenize_characters(spark, sf):
-    ids = _token_ids(spark, sf)
+    ids = proxies.token_ids(spark, sf)
     code = F.when(F.col("token_id") % 5 == 0, F.lit(0)).otherwise(32 + F.col("token_id") % 90)
     return transcripts.detokenize(ids.withColumn("token_id", code))
 

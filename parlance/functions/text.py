@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The punctuation a token comparison ignores, and the markers of failed or special output.
-TOKEN_PUNCTUATION = r'[.,!?;:"()—-]+'
+TOKEN_PUNCTUATION = '.,!?;:"()—-'
 FAILED_PREFIX = "[transcription error]"
 FAILED_PREFIX_STRICT = "[transcription error"
 FAILED_CHUNK = "[Error processing chunk]"
@@ -17,18 +17,27 @@ WORD_CONTINUATION = "##"
 _BLANK_EDGES = r"(?U)^\s+|(?U)\s+$"
 
 
+def _single_spaced(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), " {2,}", " ")
+
+
+def _split(text: Column, prepared: Column) -> Column:
+    return F.when(text.rlike(r"(?U)\S"), F.split(prepared, " ")).otherwise(F.array().cast("array<string>"))
+
+
 def tokens(text: Column) -> Column:
     """Words between single spaces, empty ones dropped; none for blank text."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    return F.when(text.rlike(r"(?U)\S"), words).otherwise(F.array().cast("array<string>"))
+    return _split(text, _single_spaced(text))
 
 
 def normalize_token(token: Column) -> Column:
-    return F.regexp_replace(F.lower(token), TOKEN_PUNCTUATION, "")
+    return F.translate(F.lower(token), TOKEN_PUNCTUATION, "")
 
 
-def normalized(words: Column) -> Column:
-    return F.transform(words, normalize_token)
+def normalized_tokens(text: Column) -> Column:
+    """The tokens of a text without case and punctuation, position by position; one may be empty. The whole text is
+    normalised at once, which is the same because neither rule crosses a space."""
+    return _split(text, normalize_token(_single_spaced(text)))
 
 
 def trimmed(text: Column) -> Column:
@@ -84,10 +93,10 @@ def leading_phrase(words: Column, k: Column) -> Column:
 def remainder(text: Column, words: Column, k: Column) -> Column:
     """``text`` without its first ``k`` words: the phrase is searched ignoring case, and text in which it cannot
     be found (runs of spaces) stays whole."""
-    phrase = leading_phrase(words, k)
-    at = F.instr(F.lower(text), F.lower(phrase))
-    rest = trimmed(F.substring(text, at + F.length(phrase), F.length(text)))
-    return F.when((k > 0) & (at > 0), rest).otherwise(text)
+    cut = bind(leading_phrase(words, k), lambda phrase: bind(
+        F.instr(F.lower(text), F.lower(phrase)),
+        lambda at: F.when(at > 0, trimmed(F.substring(text, at + F.length(phrase), F.length(text)))).otherwise(text)))
+    return F.when(k > 0, cut).otherwise(text)
 
 
 def is_failed(text: Column, strict: bool = False) -> Column:

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import audio
-from parlance.ordered import sequence_block, with_totals
+from parlance.ordered import BLOCK, sequence_block
 
 FRAMES_PER_BLOCK = 4_096
 
@@ -67,20 +68,30 @@ def _power(samples: np.ndarray, window: np.ndarray, hop: int, n_fft: int) -> np.
 
 
 def _per_frame(chunks: DataFrame, compute, column: str) -> DataFrame:
-    """Run ``compute(samples) -> [frames, values]`` over chunk rows; one output row per frame."""
+    """Run ``compute(samples) -> [frames, values]`` over chunk rows; one output row per frame.
+
+    Arrow in and out: sample arrays are views of the batch, results leave as one list column per batch.
+    """
     key_type = dict(chunks.dtypes)["clip_id"]
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for clip, first, samples in zip(part["clip_id"], part["first_frame"], part["samples"]):
-                values = compute(np.asarray(samples, dtype=np.float64))
-                if len(values):
-                    yield pd.DataFrame({
-                        "clip_id": [clip] * len(values), "frame": np.arange(first, first + len(values)),
-                        column: list(values),
-                    })
-
-    return chunks.select("clip_id", "first_frame", "samples").mapInPandas(
+            clips, firsts, lists = (part.column(c) for c in ("clip_id", "first_frame", "samples"))
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            results = [compute(np.asarray(values[a:b], dtype=np.float64)) for a, b in zip(ends[:-1], ends[1:])]
+            counts = np.array([len(r) for r in results], dtype=np.int64)
+            if not counts.sum():
+                continue
+            rows = np.repeat(np.arange(len(counts)), counts)
+            within = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            flat = np.concatenate([r for r in results if len(r)])
+            offsets = pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [clips.take(pa.array(rows)), pa.array(firsts.to_numpy()[rows] + within, pa.int64()),
+                 pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))],
+                names=["clip_id", "frame", column])
+
+    return chunks.select("clip_id", F.col("first_frame").cast("long").alias("first_frame"), "samples").mapInArrow(
         batches, f"clip_id {key_type}, frame long, {column} array<double>"
     )
 
@@ -130,16 +141,21 @@ def log_floor(features: DataFrame, eps: float = audio.LOG_FLOOR) -> DataFrame:
 def normalize_per_feature(features: DataFrame) -> DataFrame:
     """Zero mean and unit deviation per ``(clip, mel)`` over time; population deviation plus 1e-5.
 
-    Two passes, because a sum of squares alone loses precision: totals arrive per ``(clip, mel, run of frames)``,
-    so a long clip is never gathered.
+    Count, mean and squared deviations are aggregated map-side per ``(clip, mel, run of frames)`` and combined over the
+    runs of a feature, so a long clip is never gathered and nothing is lost to sums of large squares.
     """
-    key, block = ["clip_id", "mel"], sequence_block("frame", FRAMES_PER_BLOCK)
-    centred = with_totals(features, key, block, {"__n": F.lit(1), "__sum": F.col("val")}).withColumn(
-        "__diff", F.col("val") - F.col("__sum") / F.col("__n")
-    )
-    scaled = with_totals(centred, key, block, {"__sq": F.col("__diff") * F.col("__diff")})
-    std = F.sqrt(F.col("__sq") / F.col("__n")) + F.lit(audio.STD_FLOOR)
-    return scaled.select("clip_id", "frame", "mel", (F.col("__diff") / std).alias("val"))
+    unit = ["clip_id", "mel", BLOCK]
+    rows = features.withColumn(BLOCK, sequence_block("frame", FRAMES_PER_BLOCK))
+    runs = rows.groupBy(*unit).agg(
+        F.count(F.lit(1)).alias("__k"), F.avg("val").alias("__m"), (F.var_pop("val") * F.count(F.lit(1))).alias("__sq"))
+    whole = Window.partitionBy("clip_id", "mel")
+    mean = runs.withColumns({
+        "__n": F.sum("__k").over(whole), "__mean": F.sum(F.col("__k") * F.col("__m")).over(whole) / F.sum("__k").over(whole)})
+    shift = F.col("__m") - F.col("__mean")
+    spread = F.sum(F.col("__sq") + F.col("__k") * shift * shift).over(whole)
+    stats = mean.select(*unit, "__mean", (F.sqrt(spread / F.col("__n")) + F.lit(audio.STD_FLOOR)).alias("__std"))
+    return rows.join(stats, unit).select(
+        "clip_id", "frame", "mel", ((F.col("val") - F.col("__mean")) / F.col("__std")).alias("val"))
 
 
 def pad_frames(features: DataFrame, multiple: int = audio.PAD_MULTIPLE, value: float = 0.0) -> DataFrame:
@@ -162,14 +178,10 @@ def to_tensor(features: DataFrame, layout: str = "mel_major", max_frames: int =
     if layout not in ("mel_major", "time_major"):
         raise ValueError(f"unknown layout: {layout}")
     order = ["mel", "frame"] if layout == "mel_major" else ["frame", "mel"]
-    sizes = features.groupBy("clip_id").agg(
-        (F.max("frame") + 1).cast("long").alias("n_frames"), (F.max("mel") + 1).cast("int").alias("n_mels")
-    )
-    values = F.collect_list(F.struct(*order, "val"))
     # Frames beyond the limit are cut before the shuffle; a clip that has any is NULLed as a whole afterwards.
-    bounded = features.filter(F.col("frame") < max_frames).groupBy("clip_id").agg(
-        F.transform(F.sort_array(values), lambda v: v["val"]).alias("tensor")
-    )
-    return sizes.join(bounded, "clip_id").select(
-        "clip_id", "n_frames", "n_mels", F.when(F.col("n_frames") <= max_frames, F.col("tensor")).alias("tensor")
+    values = F.collect_list(F.when(F.col("frame") < max_frames, F.struct(*order, "val")))
+    clips = features.groupBy("clip_id").agg(
+        (F.max("frame") + 1).cast("long").alias("n_frames"), (F.max("mel") + 1).cast("int").alias("n_mels"),
+        F.transform(F.sort_array(values), lambda v: v["val"]).alias("tensor"),
     )
+    return clips.withColumn("tensor", F.when(F.col("n_frames") <= max_frames, F.col("tensor")))

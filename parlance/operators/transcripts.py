@@ -19,19 +19,19 @@ CLIP = ["clip_id"]
 
 def tokenize(df: DataFrame, text: str = "text") -> DataFrame:
     words = tx.tokens(F.col(text))
-    return df.withColumn("tokens", words).withColumn("normalized", tx.normalized(F.col("tokens")))
+    return df.withColumns({"tokens": words, "normalized": tx.normalized_tokens(F.col(text))})
 
 
 def fuzzy_token_match(df: DataFrame, left: str, right: str, max_dist: int = 1) -> DataFrame:
     """Whether two texts have equally many tokens and each pair is equal or ``max_dist`` edits apart."""
-    a, b = (tx.normalized(tx.tokens(F.col(c))) for c in (left, right))
+    a, b = (tx.normalized_tokens(F.col(c)) for c in (left, right))
     return df.withColumn("matches", tx.bind(
         F.struct(a.alias("a"), b.alias("b")), lambda p: tx.token_arrays_match(p["a"], p["b"], max_dist)))
 
 
 def _longest_overlap(prev: Column, cur: Column, fraction: float) -> Column:
     """Longest overlap in words between two texts, 0 when there is none (tokens are prepared once)."""
-    both = F.struct(tx.normalized(tx.tokens(prev)).alias("a"), tx.normalized(tx.tokens(cur)).alias("b"))
+    both = F.struct(tx.normalized_tokens(prev).alias("a"), tx.normalized_tokens(cur).alias("b"))
     return tx.bind(both, lambda p: F.coalesce(
         F.get(tx.matching_lengths(p["a"], p["b"], tx.search_width(F.size(p["a"]), fraction)), F.lit(0)), F.lit(0)))
 
@@ -47,18 +47,17 @@ def detect_overlap(df: DataFrame, fraction: float = DEFAULT_FRACTION) -> DataFra
 
 
 def _transition(fraction: float) -> Column:
-    """Words removed from ``text`` as a function of the words removed from ``prev`` before: an array indexed by
-    0..(words of prev).
+    """How many words ``text`` loses, as a function of the words ``prev`` lost: ``struct(n, ks, table)``.
 
     Text is *plain* when only single spaces separate its words. After removing words from a plain ``prev``, what is
-    left is its last words, so all entries follow from one list of matching lengths. Otherwise each entry compares
-    the actual remainder.
+    left is its last words, so the answer for every number lost follows from one list ``ks`` of matching lengths, longest
+    first, with what each removes. Otherwise ``table`` holds one answer per number lost, from the actual remainders.
     """
     prev_words, words = tx.tokens(F.col("prev")), tx.tokens(F.col("text"))
     prep = F.struct(
-        prev_words.alias("pw"), words.alias("w"), tx.normalized(prev_words).alias("pn"), tx.normalized(words).alias("n"),
+        prev_words.alias("pw"), words.alias("w"), tx.normalized_tokens(F.col("prev")).alias("pn"),
+        tx.normalized_tokens(F.col("text")).alias("n"),
         (~F.col("prev").rlike(r"(?U)[^\S ]") & (F.trim(F.col("prev")) == F.array_join(prev_words, " "))).alias("plain"),
-        F.col("prev").alias("prev"),
     )
 
     def found(p, k):
@@ -66,31 +65,34 @@ def _transition(fraction: float) -> Column:
         at = F.instr(F.lower(F.col("text")), F.lower(tx.leading_phrase(p["w"], k)))
         return F.when((k > 0) & (at > 0), k).otherwise(F.lit(0))
 
-    def from_plain(p):
+    def matches(p):
         n = F.size(p["pn"])
-        usable = tx.matching_lengths(p["pn"], p["n"], F.least(n, tx.search_width(n, fraction)))
-        return tx.bind(usable, lambda ks: F.transform(
-            F.sequence(F.lit(0), n),
-            lambda s: tx.bind(
-                F.coalesce(F.get(F.filter(ks, lambda k: (k <= n - s) & (k <= tx.search_width(n - s, fraction))), F.lit(0)),
-                           F.lit(0)),
-                lambda k: found(p, k))))
-
-    def from_raw(p):
+        lengths = tx.matching_lengths(p["pn"], p["n"], F.least(n, tx.search_width(n, fraction)))
+        return F.transform(lengths, lambda k: F.struct(k.alias("k"), found(p, k).alias("lost")))
+
+    def table(p):
         def entry(s):
-            left = tx.normalized(tx.tokens(tx.remainder(p["prev"], p["pw"], s)))
+            left = tx.bind(tx.remainder(F.col("prev"), p["pw"], s), tx.normalized_tokens)
             longest = tx.bind(left, lambda a: F.coalesce(F.get(
                 tx.matching_lengths(a, p["n"], tx.search_width(F.size(a), fraction)), F.lit(0)), F.lit(0)))
             return tx.bind(longest, lambda k: found(p, k))
 
         return F.transform(F.sequence(F.lit(0), F.size(p["pw"])), entry)
 
-    chosen = tx.bind(prep, lambda p: F.when(p["plain"], from_plain(p)).otherwise(from_raw(p)))
-    return F.when(F.coalesce(F.col("prev"), F.lit("")) == "", F.array(F.lit(0))).otherwise(chosen)
+    no_matches, no_table = F.array().cast("array<struct<k:int,lost:int>>"), F.lit(None).cast("array<int>")
+    chosen = tx.bind(prep, lambda p: F.struct(
+        F.size(p["pn"]).alias("n"), F.when(p["plain"], matches(p)).otherwise(no_matches).alias("ks"),
+        F.when(p["plain"], no_table).otherwise(table(p)).alias("table")))
+    nothing = F.struct(F.lit(0).alias("n"), no_matches.alias("ks"), no_table.alias("table"))
+    return F.when(F.coalesce(F.col("prev"), F.lit("")) == "", nothing).otherwise(chosen)
 
 
-def _state(effect: Column, state: Column) -> Column:
-    return F.coalesce(F.get(effect, state), F.lit(0))
+def _lost(effect: Column, before: Column, fraction: float) -> Column:
+    """Value of a transition for the number of words lost before."""
+    left = effect["n"] - before
+    usable = F.filter(effect["ks"], lambda m: (m["k"] <= left) & (m["k"] <= tx.search_width(left, fraction)))
+    plain = F.when(F.size(effect["ks"]) > 0, F.get(usable, F.lit(0))["lost"])
+    return F.coalesce(F.when(effect["table"].isNotNull(), F.get(effect["table"], before)).otherwise(plain), F.lit(0))
 
 
 def merge_pieces(df: DataFrame, fraction: float = DEFAULT_FRACTION) -> DataFrame:
@@ -120,7 +122,7 @@ def merge_pieces(df: DataFrame, fraction: float = DEFAULT_FRACTION) -> DataFrame
         F.min_by("prev", "chunk_idx").alias("carried"),
     )
     # Only clips beyond one block need the state that enters a block from outside.
-    entering = _entering_states(stepped.filter(F.col("__blocks") > 1))
+    entering = _entering_states(stepped.filter(F.col("__blocks") > 1), fraction)
     begun = blocks.join(entering, ["clip_id", BLOCK], "left")
     carried = F.coalesce("carried", F.lit(""))
     state0 = F.coalesce("entering", F.lit(0))
@@ -131,17 +133,18 @@ def merge_pieces(df: DataFrame, fraction: float = DEFAULT_FRACTION) -> DataFrame
     )
 
     def add(acc, c):
-        lost = _state(c["effect"], acc["state"])
-        piece = F.when(c["text"] == "", acc["piece"]).otherwise(tx.remainder(c["text"], tx.tokens(c["text"]), lost))
-        state = F.when(c["text"] == "", acc["state"]).otherwise(lost)
-        return tx.bind(F.struct(state.alias("state"), piece.alias("piece")), lambda s: F.struct(
+        lost = tx.bind(acc["state"], lambda before: _lost(c["effect"], before, fraction))
+        said = tx.bind(lost, lambda k: F.struct(
+            k.alias("state"), F.when(k > 0, tx.remainder(c["text"], tx.tokens(c["text"]), k)).otherwise(c["text"]).alias("piece")))
+        silent = F.struct(acc["state"].alias("state"), acc["piece"].alias("piece"))
+        return tx.bind(F.when(c["text"] == "", silent).otherwise(said), lambda s: F.struct(
             s["state"].alias("state"), s["piece"].alias("piece"),
             F.concat(acc["out"], F.array(F.struct(c["chunk_idx"].alias("chunk_idx"), s["piece"].alias("piece")))).alias("out")))
 
     return begun.select("clip_id", BLOCK, F.aggregate("chunks", start, add)["out"].alias("pieces"))
 
 
-def _entering_states(stepped: DataFrame) -> DataFrame:
+def _entering_states(stepped: DataFrame, fraction: float) -> DataFrame:
     """``(clip_id, block, entering)``: words lost by the last non-empty chunk before each block.
 
     A block's function maps the state before it to the state after it. One short array per 1,024 chunks is gathered
@@ -149,19 +152,20 @@ def _entering_states(stepped: DataFrame) -> DataFrame:
     """
     listed = F.filter(F.sort_array(F.collect_list(F.struct("chunk_idx", "effect"))), lambda c: c["effect"].isNotNull())
     effects = stepped.groupBy("clip_id", BLOCK).agg(F.transform(listed, lambda c: c["effect"]).alias("effects"))
-    # NULL for a block of empty chunks only: it leaves the state as it is.
+    # For each number of words lost before the block, the number lost at its end. NULL for a block of empty chunks
+    # only: it leaves the state as it is.
     composed = effects.select(
         "clip_id", BLOCK,
         F.when(F.size("effects") > 0, F.aggregate(
-            F.slice("effects", F.lit(2), F.size("effects")), F.get("effects", F.lit(0)),
-            lambda acc, e: F.transform(acc, lambda s: _state(e, s)))).alias("effect"),
+            "effects", F.sequence(F.lit(0), F.get("effects", F.lit(0))["n"]),
+            lambda acc, e: F.transform(acc, lambda s: _lost(e, s, fraction)))).alias("effect"),
     )
     chain = composed.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct(BLOCK, "effect"))).alias("chain"))
     start = F.struct(F.lit(0).alias("state"), F.array().cast(f"array<struct<{BLOCK}:bigint,entering:int>>").alias("out"))
 
     def step(acc, b):
         return F.struct(
-            F.when(b["effect"].isNull(), acc["state"]).otherwise(_state(b["effect"], acc["state"])).alias("state"),
+            F.when(b["effect"].isNull(), acc["state"]).otherwise(F.coalesce(F.get(b["effect"], acc["state"]), F.lit(0))).alias("state"),
             F.concat(acc["out"], F.array(F.struct(b[BLOCK].alias(BLOCK), acc["state"].alias("entering")))).alias("out"))
 
     return chain.select("clip_id", F.explode(F.aggregate("chain", start, step)["out"]).alias("o")).select(

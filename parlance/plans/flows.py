@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import audio
 from parlance.operators import conversations, manifests, segments, transcribe, transcripts
+from parlance.session import written
 from parlance.sources import recordings
 
 WHOLE_UP_TO = 960_000
@@ -67,6 +68,8 @@ def live_session_turns(chunks: DataFrame, control: DataFrame, gap_ms: int = segm
     turns = bounded.groupBy("session_id", "segment").agg(
         F.max(F.struct(F.col("received_at").alias("ts"), F.col("chunk_no").alias("event_id"))).alias("last"),
         F.sum("accepted").alias("n_samples")).select("session_id", "last.*", "n_samples")
+    # Turns are few compared with chunks and every step below orders them anew: written once, read by each.
+    turns = written(turns, "turns")
     numbered = conversations.number_turns(turns)
     known = conversations.config_as_of(numbered, control)
     said = known.withColumn("transcript", transcribe.stub_text(F.col("n_samples")))

@@ -16,15 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``clip_id, idx, amp``: quantities of one supplier in order, scaled to [-1, 1]."""
+def _numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clip_id, idx``: line items of one supplier numbered densely from 0."""
     items = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("clip_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
-        ((F.col("l_quantity") - 25.5) / 25.5).alias("amp"),
+        F.col("l_suppkey").alias("clip_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"
     )
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
     numbered = with_row_number(items, ["clip_id"], order, sequence_block("l_orderkey", ORDERS_PER_BLOCK), "n")
-    return numbered.select("clip_id", (F.col("n") - 1).alias("idx"), "amp")
+    return numbered.withColumn("idx", F.col("n") - 1)
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clip_id, idx, amp``: quantities of one supplier in order, scaled to [-1, 1]."""
+    return _numbered_items(spark, sf_dir).select("clip_id", "idx", ((F.col("l_quantity") - 25.5) / 25.5).alias("amp"))
+
+
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clip_id, seq, token_id``: part keys of one supplier in order."""
+    return _numbered_items(spark, sf_dir).select("clip_id", F.col("idx").alias("seq"), F.col("l_partkey").alias("token_id"))
 
 
 SAMPLES_PER_RECORDING = 8_192
@@ -102,7 +111,7 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``clip_id, chunk_idx, text``: whole documents cut into overlapping runs of words (map-side)."""
     stride = WORDS_PER_CHUNK - WORDS_OVERLAP
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("clip_id"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words")
+        F.col("doc_id").alias("clip_id"), F.array_remove(F.split("text", r"\s+"), "").alias("words")
     )
     n = F.size("words")
     last = F.greatest(F.lit(0), F.ceil((n - WORDS_PER_CHUNK) / F.lit(stride))).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings applied to a session that the caller builds through ``local_session`` (tests, bench).
 # On a cluster they belong in spark-defaults; none of them is needed for right results except UTC.
@@ -55,3 +55,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/parlance-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: later steps start from files instead of repeating what led
+    to them, and lost executors cost only the tasks they ran."""
+    path = new_shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

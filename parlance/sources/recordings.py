@@ -87,6 +87,8 @@ def wav_header(df: DataFrame, content: str = "content") -> DataFrame:
         out = pd.DataFrame(rows, columns=[f.name for f in walk_type.fields])
         return out.astype({"data_offset": "Int64", "data_len": "Int64"})
 
+    # Marked so that Spark does not copy the call into every expression that uses one of its fields.
+    walk = walk.asNondeterministic()
     head = F.when(canonical, F.substring(body, 1, CANONICAL_BYTES)).otherwise(body)
     warning = F.when(F.col("reject_reason").isNotNull(), F.lit(None).cast("string")).when(
         F.col("audio_format") != 1, "unsupported_format").when(
@@ -198,7 +200,8 @@ def encode_wav(df: DataFrame, rate: int = audio.SAMPLE_RATE, samples: str = "sam
 
         return column.map(one)
 
-    return df.withColumn("content", encode(F.col(samples))).drop(samples)
+    # Marked so that Spark does not repeat the call for every later use of the bytes.
+    return df.withColumn("content", encode.asNondeterministic()(F.col(samples))).drop(samples)
 
 
 def export_wav(df: DataFrame, root: str) -> None:
