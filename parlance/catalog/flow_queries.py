@@ -77,7 +77,11 @@ def reassemble_fragments_stream(spark, sf):
     parts = proxies.table(spark, sf, "events").select(
         F.col("user_id").alias("connection"), F.col("event_id").alias("seq"),
         F.concat("event_type", F.lit(";")).alias("part"), (F.col("event_type") == "purchase").alias("is_end"))
-    return _stream(spark, parts, "fragments", live.reassemble_fragments_stream)
+    root = new_shared_path(spark, "fragments")
+    parts.write.parquet(f"{root}/in")
+    source = spark.readStream.schema(parts.schema).parquet(f"{root}/in")
+    live.reassemble_fragments_in_batches(source, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out/messages").drop("batch")
 
 
 @register("throttle_progress_stream", ORACLE["throttle_progress"])

@@ -28,11 +28,27 @@ def stream(spark, tmp_path):
     return run
 
 
+FRAGMENTS = "connection string, seq long, part string, is_end boolean"
+BATCHES = [[("a", 1, "b", False), ("a", 0, "a", False), ("b", 0, "x", True)], [("a", 2, "c", True), ("a", 3, "d", True), ("a", 4, "open", False)],
+           [("b", 1, "y", True), ("a", 5, "z", False)]]
+WANT = [("a", 0, "abc", 3), ("a", 1, "d", 1), ("b", 0, "x", 1), ("b", 1, "y", 1)]
+
+
+@pytest.mark.parametrize("per_block", [65_536, 1])
+def test_fragments_in_batches(spark, tmp_path, rows, monkeypatch, per_block):
+    monkeypatch.setattr(segments, "FRAGMENTS_PER_BLOCK", per_block)
+    src = tmp_path / "in"
+    for i, batch in enumerate(BATCHES):
+        spark.createDataFrame(batch, FRAGMENTS).coalesce(1).write.mode("append").parquet(str(src))
+        source = spark.readStream.schema(FRAGMENTS).parquet(str(src))
+        live.reassemble_fragments_in_batches(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out/messages")), "connection", "message_no", "text", "fragments") == WANT
+
+
 def test_fragments_across_batches(stream, rows):
-    schema = "connection string, seq long, part string, is_end boolean"
-    batches = [[("a", 1, "b", False), ("a", 0, "a", False), ("b", 0, "x", True)], [("a", 2, "c", True), ("a", 3, "d", True), ("a", 4, "open", False)]]
+    schema, batches = FRAGMENTS, BATCHES
     got = stream(batches, schema, live.reassemble_fragments_stream)
-    assert rows(got, "connection", "message_no", "text", "fragments") == [("a", 0, "abc", 3), ("a", 1, "d", 1), ("b", 0, "x", 1)]
+    assert rows(got, "connection", "message_no", "text", "fragments") == WANT
 
 
 def test_throttle_across_batches(spark, stream, rows):
