@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
-from parlance.ordered import BLOCK, block_scan, concat_ordered, sequence_block, with_previous
+from parlance.ordered import BLOCK, block_scan, concat_ordered, salted_join, sequence_block, with_previous
 
 CHUNKS_PER_BLOCK = 1_024
 TOKENS_PER_BLOCK = 65_536
@@ -215,14 +215,15 @@ def detokenize(ids: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """``(clip_id, seq, token_id)`` -> text per clip. Ids outside the vocabulary and special pieces are skipped; without
     a vocabulary, ids 1..255 are character codes. Clips without usable pieces yield an empty text.
 
-    The vocabulary is joined without a hint, so Spark broadcasts it only below its size threshold.
+    The vocabulary is joined without a hint, so Spark broadcasts it only below its size threshold; beyond, frequent ids are
+    spread over several tasks.
     """
     if vocab is None:
         code = F.col("token_id")
         pieces = ids.withColumn("piece", F.when((code > 0) & (code < 256), F.chr(code)))
         return concat_ordered(pieces, CLIP, ["seq"], sequence_block("seq", TOKENS_PER_BLOCK), "piece", "", "text")
     usable = vocab.filter((F.col("piece") != "") & ~F.col("piece").isin(*tx.SPECIAL_PIECES)).select("token_id", "piece")
-    pieces = ids.join(usable, "token_id", "left")
+    pieces = salted_join(ids, usable, ["token_id"], F.col("seq"), "left", salts=8)
     texts = concat_ordered(pieces, CLIP, ["seq"], sequence_block("seq", TOKENS_PER_BLOCK), "piece", "", "text")
     return texts.withColumn("text", _finish(F.col("text")))
 
