@@ -69,19 +69,17 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def repeated_words(words: Column, n: Column, width: int = WINDOW) -> Column:
-    """Words inside windows of ``width`` = 8 words that occur twice or more in the text, the first occurrence included.
+    """Words inside windows of ``width`` (an even number of) words that occur twice or more in the text, the first occurrence included.
 
-    Window hashes come from pairs of pairs of pairs of word hashes. Only texts whose window hashes are not all different
-    go on to sort them; covered words are then counted from the starts in ascending order.
+    Window hashes come from hashes of words and of neighbours. Only texts whose window hashes are not all different go on
+    to sort them; covered words are then counted from the starts in ascending order.
     """
-    def joined(h: Column, reach: int, keep: Column) -> Column:
-        return F.zip_with(F.slice(h, F.lit(1), keep), F.slice(h, F.lit(1 + reach), keep), lambda a, b: F.xxhash64(a, b))
+    def windows(h: Column) -> Column:
+        pairs = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
+        return let(pairs, lambda p: F.slice(F.transform(p, lambda x, i: F.xxhash64(
+            x, *[F.get(p, i + k) for k in range(2, width, 2)])), F.lit(1), F.greatest(F.lit(0), n - (width - 1))))
 
-    def size(less: int) -> Column:
-        return F.greatest(F.lit(0), n - less)
-
-    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h1: let(
-        joined(h1, 1, size(1)), lambda h2: let(joined(h2, 2, size(3)), lambda h4: joined(h4, 4, size(7)))))
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
     def starts(ordered: Column) -> Column:
         same = F.transform(ordered, lambda x, i: F.when(
@@ -101,8 +99,8 @@ def repeated_words(words: Column, n: Column, width: int = WINDOW) -> Column:
 
 
 def word_histogram(words: Column, common: Column) -> Column:
-    """Counts of the common words and, last, of all others; words are compared in lower case."""
-    known = F.filter(F.transform(words, F.lower), lambda w: F.array_contains(common, w))
+    """Counts of the common words and, last, of all others; words are compared as they are written."""
+    known = F.filter(words, lambda w: F.array_contains(common, w))
     return let(known, lambda k: F.concat(
         F.transform(common, lambda c: F.size(F.filter(k, lambda w: w == c))), F.array(F.size(words) - F.size(k))))
 
@@ -117,7 +115,6 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL")
     words = rows.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
-    words = words.select("lang", F.lower("word").alias("word"))
     words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
     buckets = words.groupBy("lang", "bucket").agg(F.count("*").alias("n"))
     totals = buckets.groupBy("lang").agg(F.sum("n").alias("total"))

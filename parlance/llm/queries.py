@@ -7,9 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import jaccard, lines, quality
+from parlance.llm import jaccard, lines, mixing, packing, quality
 from parlance.llm.base import table
 
+LABELS = ["quality", "toxic"]
+# Shares of the mixed tokens: mostly good text, some rough text, hardly any toxic text.
+WEIGHTS = {"quality=1,toxic=0": 0.92, "quality=0,toxic=0": 0.06, "quality=1,toxic=1": 0.02}
+WHOLE = "quality=1,toxic=0"
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the vocabulary files of public tokenizers are installed, on the driver as on the executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -60,3 +73,17 @@ def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op8_quality_divergence(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return quality.score_quality(docs).select("doc_id", "quality.*")
+
+
+@register("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+@register("op10_soft_mixing")
+def op10_soft_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out, mix = mixing.mix_to_targets(docs, table(spark, sf, "labels"), LABELS, WEIGHTS)
+    shares = [F.get("posteriors", F.lit(i)).alias("p_" + d.replace("=", "").replace(",", "_")) for i, d in enumerate(mix.classifier.domains)]
+    return out.select("doc_id", "n_tokens", *shares, "rate", "copies")

@@ -46,7 +46,7 @@ def plain_classes(text):
 
 def plain_verdict(text, lang, refs):
     base = plain_base(text)
-    words = [w.lower() for w in WORD.findall(text or "")]
+    words = WORD.findall(text or "")
     char = word = None
     if len(words) >= quality.MIN_WORDS and lang in refs:
         ref = refs[lang]
@@ -82,7 +82,7 @@ def test_references_are_exact_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     refs = quality.language_references(docs)
     for lang, ref in refs.items():
-        words = Counter(w.lower() for r in docs.filter(F.col("lang") == lang).collect() for w in WORD.findall(r.text))
+        words = Counter(w for r in docs.filter(F.col("lang") == lang).collect() for w in WORD.findall(r.text))
         total = sum(words.values())
         best = [w for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0])) if n >= total * quality.COMMON_SHARE and re.search(r"[^\W\d_]", w)]
         assert ref.words == best[:quality.COMMON_WORDS]
