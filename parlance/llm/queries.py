@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import jaccard, lines, mixing, packing, quality
+from parlance.llm import jaccard, lines, mixing, packing, phrases, quality, tokenfiles
 from parlance.llm.base import table
 
 LABELS = ["quality", "toxic"]
@@ -87,3 +87,14 @@ def op10_soft_mixing(spark: SparkSession, sf: str) -> DataFrame:
     out, mix = mixing.mix_to_targets(docs, table(spark, sf, "labels"), LABELS, WEIGHTS)
     shares = [F.get("posteriors", F.lit(i)).alias("p_" + d.replace("=", "").replace(",", "_")) for i, d in enumerate(mix.classifier.domains)]
     return out.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
+@register("op5_phrase_fingerprints")
+def op5_phrase_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.edit_fingerprints(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@register("op7_token_files")
+def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return tokenfiles.token_files_round_trip(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
