@@ -74,7 +74,7 @@ def new_shared_file(folder: str, stem: str, suffix: str):
     path = f"{folder.rstrip('/')}/{stem}-{uuid.uuid4().hex}{suffix}"
     system, name = _filesystem(path)
     system.create_dir(name.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(name) as out:
+    with system.open_output_stream(name, compression=None) as out:
         yield path, out
 
 

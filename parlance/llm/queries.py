@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import jaccard, lines, mixing, packing, phrases, quality, tokenfiles
-from parlance.llm.base import table
+from parlance.llm import chat, jaccard, lines, mixing, packing, phrases, quality, shards, tokenfiles, warc
+from parlance.llm.base import table, written
 
 LABELS = ["quality", "toxic"]
 # Shares of the mixed tokens: mostly good text, some rough text, hardly any toxic text.
@@ -98,3 +98,54 @@ def op5_phrase_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return tokenfiles.token_files_round_trip(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+_ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+
+
+@register("op1_warc_round_trip", f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS sha FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr({_ALPHABET},
+  CAST((CAST('0x' || substr(sha, CAST(i // 4 AS INTEGER) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  max(page_id) OVER (PARTITION BY sha) AS head FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to FROM b""")
+def op1_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf, "pages"), min_revisit_bytes=0)
+    records = warc.read_archives(archives)
+    return records.select(warc.key_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          warc.key_of("refers_to").alias("refers_to"))
+
+
+@register("op2_lpt_shards")
+def op2_lpt_shards(spark: SparkSession, sf: str) -> DataFrame:
+    dealt = shards.balanced_shards(table(spark, sf, "documents").select("doc_id", "text"), shards=16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _escaped(text: str) -> str:
+    """Code points of an escaped text."""
+    added = [f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in ["\\", *chat.CONTROL]]
+    return f"(length({text}) + {' + '.join(added)})"
+
+
+@register("op6_prefix_targets", f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, sum({len(chat.BEGIN + chat.BETWEEN + chat.END)} + {_escaped("role")} + {_escaped("text")}) OVER w AS upto,
+  lead(turn) OVER w IS NULL AS is_last FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (WHERE role = 'assistant' OR is_last) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""")
+def op6_prefix_targets(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    examples = written(chat.expand(turns.union(added)), "examples")
+    back = chat.read_back(examples)
+    spoken = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n")))
+    trained = F.array_join("replies", "")
+    return back.select(
+        "conv_id", F.size("texts").cast("long").alias("n_turns"), F.sha2(F.array_join(spoken, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
