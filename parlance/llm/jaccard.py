@@ -211,12 +211,14 @@ def _links(sets: DataFrame, plan: Plan) -> DataFrame:
     while True:
         # A group: members that may have links among them that aren't known; `of` is the leader it comes from.
         if labels is None:
-            kept = groups.groupBy("of", "s").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("size"))
-            named = groups
+            named = groups.withColumn("label", F.col("x"))
         else:
             named = groups.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-            kept = named.groupBy("of", "s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        kept = kept.filter("low <> high").select(F.col("of").alias("g_of"), F.col("s").alias("g_s"), "size")
+        kept = named.groupBy(F.col("of").alias("g_of"), F.col("s").alias("g_s")).agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"),
+            *[F.expr(f"bit_xor(xxhash64(x, {i}))").alias(f"members{i}") for i in (1, 2)])
+        # Near copies share many grams, so many groups have the same members: one of them is enough.
+        kept = kept.filter("low <> high").dropDuplicates(["size", "members1", "members2"]).select("g_of", "g_s", "size")
         same = F.col("of").eqNullSafe(F.col("g_of")) & F.col("s").eqNullSafe(F.col("g_s"))
         live = written(named.join(kept, same).drop("g_of", "g_s"), "live")
         left, pairs = live.agg(F.count("*"), F.sum(F.col("size") - 1)).first()
