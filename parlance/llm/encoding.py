@@ -9,6 +9,7 @@ special tokens in a text being ordinary text.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 
@@ -17,8 +18,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-CACHE_BYTES = 96 << 20   # about, per worker; the cache starts anew when it is full
+CACHE_BYTES = 224 << 20  # about, per worker; the cache starts anew when it is full
 LONGEST_PIECE = 1_024    # longer pieces are encoded with their text and not kept
+TOGETHER = 512           # pieces learned in one call
 
 
 class TextEncoder:
@@ -28,53 +30,79 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.encode_special_tokens = True
         self.cut, self.lead = _cuts(json.loads(text))
+        if self.lead:
+            # The byte-level sign of a space, with which the first token of a piece begins.
+            size = self.tokenizer.get_vocab_size()
+            self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self._forget()
+
+    def _forget(self) -> None:
+        """Ids by piece (in ``lead`` tokenizers: of the piece after a space), and of pieces that a text begins with."""
         self.pieces: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes | None] = {} if self.lead else self.pieces
         self.room = CACHE_BYTES
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cut:
             return [self._whole(t) for t in texts]
+        if self.room < 0:
+            self._forget()
         split = [t.split(" ") for t in texts]
+        heads = [p.pop(0) for p in split]
+        self._learn_heads(set(heads).difference(self.heads))
+        missing: set[str] = set()
+        known = self.pieces.__contains__
+        for pieces in split:
+            missing.update(itertools.filterfalse(known, pieces))
         if self.lead:
-            for pieces in split:
-                pieces[1:] = [" " + p for p in pieces[1:]]
-        if self.room < 0:
-            self.pieces, self.room = {}, CACHE_BYTES
-        known = self.pieces
-        self._learn(list(set().union(*split).difference(known)))
-        out = []
-        for text, pieces in zip(texts, split):
+            self._learn(missing)
+        else:
+            self._learn_heads(missing)
+        out, ids_of = [], self.pieces.__getitem__
+        for text, head, pieces in zip(texts, heads, split):
             try:
-                out.append(b"".join([known[p] for p in pieces]))
+                out.append(self.heads[head] + b"".join(map(ids_of, pieces)))
             except TypeError:  # a piece that can't be taken alone
                 out.append(self._whole(text))
         return out
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        alone = []
-        for piece in new:
-            # A space before more white space is part of a run, which is one pre-token.
-            in_run = self.lead and piece[:1] == " " and (len(piece) == 1 or piece[1].isspace())
-            if in_run or len(piece) > LONGEST_PIECE:
-                self.pieces[piece] = None
-                self.room -= len(piece)
-            else:
-                alone.append(piece)
-        for start in range(0, len(alone), 4_096):
-            some = alone[start:start + 4_096]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4").tobytes()
-            word = np.array(got.word_ids, dtype=np.int64)
-            ends = (np.cumsum(np.bincount(word, minlength=len(some))) * 4).tolist()
-            at = 0
-            for piece, end in zip(some, ends):
-                self.pieces[piece] = ids[at:end]
-                at = end
-            self.room -= sum(map(len, some)) + len(ids) + 170 * len(some)
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn_heads(self, new: set[str]) -> None:
+        alone = self._fit(new, self.heads)
+        for start in range(0, len(alone), TOGETHER):
+            some = alone[start:start + TOGETHER]
+            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.heads[piece] = _bytes(got.ids)
+
+    def _learn(self, new: set[str]) -> None:
+        """Many pieces at once: each after a space, and cut again where a token begins with the space."""
+        # A space before more white space is part of a run, which is one pre-token.
+        in_run = {p for p in new if not p or p[0].isspace()}
+        self.pieces.update(dict.fromkeys(in_run))
+        alone = self._fit(new - in_run, self.pieces)
+        for start in range(0, len(alone), TOGETHER):
+            some = alone[start:start + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(ids) * 4]
+            if len(ends) != len(some) + 1:
+                raise ValueError("the tokenizer doesn't begin a token at each space")
+            whole = ids.tobytes()
+            self.pieces.update((piece, whole[a:b]) for piece, a, b in zip(some, ends, ends[1:]))
+
+    def _fit(self, new: set[str], into: dict[str, bytes | None]) -> list[str]:
+        """Those short enough to be kept; about what they take is booked."""
+        long = {p for p in new if len(p) > LONGEST_PIECE}
+        into.update(dict.fromkeys(long))
+        alone = list(new - long)
+        self.room -= sum(map(len, new)) * 2 + 190 * len(new)
+        return alone
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 def _cuts(config: dict) -> tuple[bool, bool]:
