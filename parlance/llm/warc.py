@@ -237,7 +237,7 @@ def parse_record(data: bytes) -> dict:
     fields = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
-        if not colon or not name:
+        if not colon or not name or " " in name:
             raise ValueError("a header line has no name")
         fields[name.strip().lower()] = value.strip()
     for name in ("warc-type", "warc-record-id", "content-length"):
