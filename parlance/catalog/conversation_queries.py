@@ -309,11 +309,12 @@ def expire_sessions(spark, sf):
 
 
 @register("latency_report", """SELECT event_type, count(*) AS calls, round(sum(value), 4) AS audio_s, round(sum(w), 4) AS wall_s,
-  round(sum(w) / sum(value), 6) AS real_time_factor, round(sum(value) / sum(w), 6) AS throughput, round(avg(w), 6) AS mean_wall_s,
-  round(stddev_pop(w), 6) AS stddev_wall_s, round(sum(w) / (sum(value) / 60), 6) AS wall_s_per_audio_minute
-FROM (SELECT event_type, value, value * 0.3 + 1 AS w FROM events) GROUP BY event_type""")
+  round(sum(w) / nullif(sum(value), 0), 6) AS real_time_factor, round(sum(value) / nullif(sum(w), 0), 6) AS throughput, round(avg(w), 6) AS mean_wall_s,
+  round(stddev_pop(w), 6) AS stddev_wall_s, round(sum(w) / nullif(sum(value) / 60, 0), 6) AS wall_s_per_audio_minute
+FROM (SELECT event_type, CASE event_type WHEN 'error' THEN 0.0 ELSE value END AS value, CASE event_type WHEN 'view' THEN 0.0 ELSE value * 0.3 + 1 END AS w FROM events) GROUP BY event_type""")
 def latency_report(spark, sf):
     calls = proxies.table(spark, sf, "events").select(
-        "event_type", F.col("value").alias("audio_s"), (F.col("value") * 0.3 + 1).alias("wall_s"))
+        "event_type", F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("value")).alias("audio_s"),
+        F.when(F.col("event_type") == "view", 0.0).otherwise(F.col("value") * 0.3 + 1).alias("wall_s"))
     out = conversations.latency_report(calls, ["event_type"])
     return out.withColumns({c: F.round(c, 4 if c in ("audio_s", "wall_s") else 6) for c in out.columns[2:]})

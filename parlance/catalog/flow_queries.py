@@ -1,18 +1,20 @@
 """Flows and streaming queries. A streaming query drains files that Spark wrote from the given tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from parlance import proxies
 from parlance.catalog.conversation_queries import CONTROL, GAP_MS, SEGMENTS
 from parlance.catalog.registry import ORACLE, register
-from parlance.catalog.source_queries import _encoded
-from parlance.operators import conversations, transcribe
+from parlance.catalog.source_queries import CHUNKED, RECORDINGS, damaged
+from parlance.catalog.transcript_queries import merge_sql
+from parlance.functions.text import FAILED_CHUNK
+from parlance.operators import conversations, transcripts
 from parlance.plans import flows
 from parlance.session import new_shared_path
+from parlance.sources import text_sources
 from parlance.streaming import live
 
-_STUB = "[" + ", ".join("'" + t + "'" for t in transcribe.STUB_REPLIES) + "]"
-
 
 @register("live_session_turns", f"""WITH {SEGMENTS}, {CONTROL}, turns AS (SELECT session_id, segment, max(received_at) AS ts,
     arg_max(chunk_no, (received_at, chunk_no)) AS event_id, sum(accepted) AS n FROM bounded GROUP BY session_id, segment),
@@ -21,17 +23,21 @@ merged AS (SELECT session_id, ts, event_id, turn_number, n, NULL AS smart_mode,
   UNION ALL SELECT session_id, ts, event_id, NULL, NULL, smart_mode, smart_model FROM px_control WHERE type = 'config'),
 known AS (SELECT *, coalesce(last_value(smart_mode IGNORE NULLS) OVER w, false) AS smart, coalesce(last_value(smart_model IGNORE NULLS) OVER w, 'phi3') AS model
   FROM merged WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id, turn_number NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-said AS (SELECT *, CASE WHEN n / 16000.0 < 0.5 THEN '' ELSE {_STUB}[CAST(floor(n / 16000.0 * 10) AS INTEGER) % 5 + 1] END AS text FROM known WHERE turn_number IS NOT NULL),
+said AS (SELECT *, CASE WHEN n % 9 = 0 THEN '' ELSE 'heard ' || n || ' samples' END AS text FROM known WHERE turn_number IS NOT NULL),
 m AS (SELECT session_id, turn_number, 0 AS o, 'transcript' AS type, text AS transcript, NULL AS response FROM said
   UNION ALL SELECT session_id, turn_number, 1, 'thinking', NULL, NULL FROM said WHERE smart
   UNION ALL SELECT session_id, turn_number, 2, 'response', text, CASE WHEN smart THEN model || ': ' || text ELSE text END FROM said)
 SELECT session_id, turn_number, CAST(row_number() OVER (PARTITION BY session_id, turn_number ORDER BY o) - 1 AS INTEGER) AS step, type, transcript, response,
   CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS BOOLEAN) AS is_partial FROM m""")
 def live_session_turns(spark, sf):
+    def say(turns):
+        n = F.col("n_samples")
+        return turns.withColumn("transcript", F.when(n % 9 == 0, "").otherwise(F.concat(F.lit("heard "), n.cast("string"), F.lit(" samples"))))
+
     # Chunks and control rows of one event share its time: even ids stand for the control message first.
     return flows.live_session_turns(
         proxies.live_chunks(spark, sf).withColumn("chunk_no", F.col("chunk_no") * 2 + 1),
-        proxies.control(spark, sf).withColumn("event_id", F.col("event_id") * 2), GAP_MS, 10_000)
+        proxies.control(spark, sf).withColumn("event_id", F.col("event_id") * 2), say, GAP_MS, 10_000)
 
 
 ORACLE["live_session_turns"] = ORACLE["live_session_turns"].replace(
@@ -39,16 +45,28 @@ ORACLE["live_session_turns"] = ORACLE["live_session_turns"].replace(
     "AS setting FROM events)", "AS setting FROM (SELECT user_id, event_id * 2 AS event_id, ts, event_type, props FROM events) e)")
 
 
-@register("transcribe_recordings", None)
+@register("transcribe_recordings", f"""WITH RECURSIVE {RECORDINGS}, {CHUNKED.replace("WHERE n > 0", "WHERE n > 0 AND session_id % 8 IN (0, 5, 6)")},
+q AS (SELECT session_id, turn_number, pos, CAST(round(amp * 32768) AS INTEGER) AS q FROM recs),
+heard AS (SELECT p.session_id, p.turn_number, p.chunk_idx, p.n, string_agg('w' || q, ' ' ORDER BY pos) AS said, arg_min(q, pos) AS first
+  FROM planned p JOIN q ON q.session_id = p.session_id AND q.turn_number = p.turn_number AND q.pos >= p.start_frame AND q.pos < p.end_frame
+  GROUP BY p.session_id, p.turn_number, p.chunk_idx, p.n),
+{merge_sql(f"""SELECT session_id * 100000 + turn_number AS clip_id, chunk_idx, CASE WHEN first % 5 <> 0 THEN said
+  WHEN n <= 256 THEN '[Transcription error: no speech]' ELSE '{FAILED_CHUNK}' END AS cur FROM heard""", transcripts.FLOW_FRACTION)}
+SELECT session_id, turn_number, CASE session_id % 8 WHEN 1 THEN 'too_short' WHEN 2 THEN 'no_riff' WHEN 3 THEN 'no_wave' WHEN 4 THEN 'no_data'
+  WHEN 7 THEN 'bad_format' END AS reject_reason, coalesce(chunks, 0) AS chunks, coalesce(text, '') AS text
+FROM rec_list LEFT JOIN merged ON clip_id = session_id * 100000 + turn_number""")
 def transcribe_recordings(spark, sf):
-    """Decode, score and merge whole recordings; the model spells out every eighth sample."""
+    """Damaged and whole recordings, cut into overlapping chunks; the model spells every sample and fails on some chunks."""
     def load():
         def model(samples):
-            return " ".join(f"w{int(abs(v) * 9999):04d}" for v in samples[::8])
+            values = np.rint(np.asarray(samples, dtype=np.float64) * 32768).astype(int)
+            if len(values) and values[0] % 5 == 0:
+                raise ValueError("no speech")
+            return " ".join(f"w{v}" for v in values)
 
         return model
 
-    return flows.transcribe_recordings(_encoded(spark, sf), load, whole_up_to=0, chunk_s=0.08, overlap_s=0.01)
+    return flows.transcribe_recordings(damaged(spark, sf), load, whole_up_to=0, gate=False, chunk_s=0.016, overlap_s=0.002)
 
 
 def _stream(spark, batch, label, compute):
@@ -72,11 +90,20 @@ def segment_on_pause_stream(spark, sf):
         "session_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "chunks", "offered")
 
 
-@register("reassemble_fragments_stream", ORACLE["reassemble_fragments"])
-def reassemble_fragments_stream(spark, sf):
-    parts = proxies.table(spark, sf, "events").select(
+def _fragments(spark, sf):
+    return proxies.table(spark, sf, "events").select(
         F.col("user_id").alias("connection"), F.col("event_id").alias("seq"),
         F.concat("event_type", F.lit(";")).alias("part"), (F.col("event_type") == "purchase").alias("is_end"))
+
+
+@register("reassemble_fragments_stream", ORACLE["reassemble_fragments"])
+def reassemble_fragments_stream(spark, sf):
+    return _stream(spark, _fragments(spark, sf), "fragments", live.reassemble_fragments_stream)
+
+
+@register("reassemble_fragments_in_batches", ORACLE["reassemble_fragments"])
+def reassemble_fragments_in_batches(spark, sf):
+    parts = _fragments(spark, sf)
     root = new_shared_path(spark, "fragments")
     parts.write.parquet(f"{root}/in")
     source = spark.readStream.schema(parts.schema).parquet(f"{root}/in")
@@ -84,6 +111,18 @@ def reassemble_fragments_stream(spark, sf):
     return spark.read.parquet(f"{root}/out/messages").drop("batch")
 
 
+@register("log_stream_sink", ORACLE["log_payloads"])
+def log_stream_sink(spark, sf):
+    """Entries as a stream delivers them: each micro-batch under its id, so that a repeated batch replaces itself."""
+    logs = proxies.logs(spark, sf).withColumn("level", F.nullif("level", F.lit("info")))
+    root = new_shared_path(spark, "log-stream")
+    logs.write.parquet(f"{root}/in")
+    source = spark.readStream.schema(logs.schema).parquet(f"{root}/in")
+    text_sources.log_stream_sink(
+        source, lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/batch={i}"), f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("batch")
+
+
 @register("throttle_progress_stream", ORACLE["throttle_progress"])
 def throttle_progress_stream(spark, sf):
     raw = proxies.table(spark, sf, "events").select(

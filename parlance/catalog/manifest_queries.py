@@ -91,7 +91,7 @@ def ready_count(spark, sf):
 _NEST = "'d' || (({0}) % 3) || '/e' || (({0}) % 5) || '/f' || ({0}) || '.bin'"
 
 
-@register("delete_plan", f"""WITH tree AS (SELECT DISTINCT l_partkey AS dir, {_NEST.format('l_suppkey')} AS rel_path FROM lineitem WHERE l_linenumber <= 2),
+@register("delete_plan", f"""WITH tree AS (SELECT DISTINCT l_partkey AS dir, {_NEST.format('l_suppkey')} AS rel_path FROM lineitem),
 doomed AS (SELECT DISTINCT l_partkey AS dir, {_NEST.format('l_suppkey')} AS rel_path FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 3 = 0),
 marked AS (SELECT t.dir, t.rel_path, d.dir IS NOT NULL AS gone FROM tree t LEFT JOIN doomed d ON d.dir = t.dir AND d.rel_path = t.rel_path WHERE t.dir % 3 = 0),
 entries AS (SELECT dir, gone, 'file' AS kind, rel_path AS path FROM marked
@@ -105,7 +105,7 @@ def delete_plan(spark, sf):
     nested = F.concat(F.lit("d"), (supp % 3).cast("string"), F.lit("/e"), (supp % 5).cast("string"), F.lit("/f"),
                       supp.cast("string"), F.lit(".bin"))
     items = proxies.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("dir"), nested.alias("rel_path"), "l_linenumber")
-    listing = items.filter("l_linenumber <= 2").select("dir", "rel_path")
+    listing = items.select("dir", "rel_path")
     artifacts = items.filter("l_linenumber = 1 AND dir % 3 = 0").select(
         "dir", F.col("rel_path").alias("primary_file"), F.array("rel_path").alias("additional_files"))
     # Parts without a doomed file still belong to the plan: an artifact whose files are absent.

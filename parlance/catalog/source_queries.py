@@ -30,9 +30,10 @@ def scan_recordings(spark, sf):
     return recordings.scan_recordings(spark, root).select("session_id", "turn_number", "role", "length")
 
 
-def _damaged(spark, sf):
-    """Six kinds of files by session: intact, cut short, wrong magic twice, no data chunk, an extra odd-sized chunk."""
-    w, kind = F.col("content"), F.col("session_id") % 7
+def damaged(spark, sf):
+    """Kinds of files by session: intact, cut short, wrong magic twice, no data chunk, an extra odd-sized chunk, an
+    unsupported format, a sample rate of zero."""
+    w, kind = F.col("content"), F.col("session_id") % 8
 
     def raw(data: bytes):
         return F.lit(bytearray(data))
@@ -46,31 +47,32 @@ def _damaged(spark, sf):
         .when(kind == 4, F.concat(F.substring(w, 1, 36), raw(b"junk"), F.substring(w, F.lit(41), rest)))
         .when(kind == 5, F.concat(F.substring(w, 1, 36), raw(b"LIST" + struct.pack("<i", 3) + b"abc\0"), F.substring(w, F.lit(37), rest)))
         .when(kind == 6, F.concat(F.substring(w, 1, 20), raw(b"\3\0"), F.substring(w, F.lit(23), rest)))
+        .when(kind == 7, F.concat(F.substring(w, 1, 24), raw(bytes(4)), F.substring(w, F.lit(29), rest)))
         .otherwise(w))
 
 
-@register("wav_header", f"""WITH {RECORDINGS} SELECT session_id, turn_number, CASE session_id % 7 WHEN 6 THEN 3 ELSE 1 END AS audio_format,
-  1 AS channels, 16000 AS sample_rate, 16 AS bits,
-  CAST(CASE WHEN session_id % 7 IN (0, 6) THEN 44 WHEN session_id % 7 = 5 THEN 56 END AS BIGINT) AS data_offset,
-  CASE WHEN session_id % 7 IN (0, 5, 6) THEN 2 * n END AS data_len,
-  CASE session_id % 7 WHEN 1 THEN 'too_short' WHEN 2 THEN 'no_riff' WHEN 3 THEN 'no_wave' WHEN 4 THEN 'no_data' END AS reject_reason,
-  CASE WHEN session_id % 7 = 6 THEN 'unsupported_format' END AS warning FROM rec_list""")
+@register("wav_header", f"""WITH {RECORDINGS} SELECT session_id, turn_number, CASE session_id % 8 WHEN 6 THEN 3 ELSE 1 END AS audio_format,
+  1 AS channels, CASE WHEN session_id % 8 = 7 THEN 0 ELSE 16000 END AS sample_rate, 16 AS bits,
+  CAST(CASE WHEN session_id % 8 IN (0, 6) THEN 44 WHEN session_id % 8 = 5 THEN 56 END AS BIGINT) AS data_offset,
+  CASE WHEN session_id % 8 IN (0, 5, 6) THEN 2 * n END AS data_len,
+  CASE session_id % 8 WHEN 1 THEN 'too_short' WHEN 2 THEN 'no_riff' WHEN 3 THEN 'no_wave' WHEN 4 THEN 'no_data' WHEN 7 THEN 'bad_format' END AS reject_reason,
+  CASE WHEN session_id % 8 = 6 THEN 'unsupported_format' END AS warning FROM rec_list""")
 def wav_header(spark, sf):
-    return recordings.wav_header(_damaged(spark, sf)).drop("content", "role")
+    return recordings.wav_header(damaged(spark, sf)).drop("content", "role")
 
 
 @register("header_duration", f"""WITH {RECORDINGS} SELECT session_id, turn_number,
-  round(CASE WHEN session_id % 7 = 1 THEN 0.0 WHEN session_id % 7 = 5 THEN 3 / 32000.0 ELSE 2 * n / 32000.0 END, 6) AS header_duration,
-  round(CASE WHEN session_id % 7 IN (0, 5, 6) THEN 2 * n / 32000.0 END, 6) AS exact_duration FROM rec_list""")
+  round(CASE WHEN session_id % 8 = 1 THEN 0.0 WHEN session_id % 8 = 5 THEN 3 / 32000.0 WHEN session_id % 8 = 7 THEN NULL ELSE 2 * n / 32000.0 END, 6) AS header_duration,
+  round(CASE WHEN session_id % 8 IN (0, 5, 6) THEN 2 * n / 32000.0 END, 6) AS exact_duration FROM rec_list""")
 def header_duration(spark, sf):
-    both = recordings.fixed_offset_duration(recordings.wav_header(_damaged(spark, sf)))
+    both = recordings.fixed_offset_duration(recordings.wav_header(damaged(spark, sf)))
     exact = F.when(F.col("reject_reason").isNull(), audio.exact_duration(
         F.col("data_len"), F.col("sample_rate"), F.col("channels"), F.col("bits")))
     return rounded(both.withColumn("exact_duration", exact).select(
         "session_id", "turn_number", "header_duration", "exact_duration"), "header_duration", "exact_duration")
 
 
-_CHUNKED = """planned AS (SELECT session_id, turn_number, n, CAST(c AS INTEGER) AS chunk_idx, c * 224 AS start_frame, least(c * 224 + 256, n) AS end_frame
+CHUNKED = """planned AS (SELECT session_id, turn_number, n, CAST(c AS INTEGER) AS chunk_idx, c * 224 AS start_frame, least(c * 224 + 256, n) AS end_frame
   FROM rec_list, LATERAL (SELECT unnest(range(CASE WHEN n <= 256 THEN 1 ELSE (n - 256 + 223) // 224 + 1 END)) AS c) WHERE n > 0)"""
 
 
@@ -80,14 +82,14 @@ def _exploded(chunks):
         F.posexplode("samples").alias("pos", "amp")).withColumns({"pos": F.col("pos").cast("long"), "amp": F.round(F.col("amp").cast("double"), 5)})
 
 
-@register("decode_pcm", f"""WITH {RECORDINGS}, {_CHUNKED} SELECT p.session_id, p.turn_number, chunk_idx, start_frame, end_frame, r.pos - start_frame AS pos,
+@register("decode_pcm", f"""WITH {RECORDINGS}, {CHUNKED} SELECT p.session_id, p.turn_number, chunk_idx, start_frame, end_frame, r.pos - start_frame AS pos,
   round(r.amp, 5) AS amp FROM planned p JOIN recs r ON r.session_id = p.session_id AND r.turn_number = p.turn_number
   AND r.pos >= start_frame AND r.pos < end_frame""")
 def decode_pcm(spark, sf):
     return _exploded(recordings.decode_pcm(recordings.wav_header(_encoded(spark, sf)), chunk_s=0.016, overlap_s=0.002))
 
 
-@register("decode_pcm_resampled", f"""WITH {RECORDINGS.replace("rec_list AS (SELECT session_id, turn_number, count(*) AS n", "rec_list AS (SELECT session_id, turn_number, CAST(trunc(count(*) / (44100.0 / 16000)) AS BIGINT) AS n")}, {_CHUNKED},
+@register("decode_pcm_resampled", f"""WITH {RECORDINGS.replace("rec_list AS (SELECT session_id, turn_number, count(*) AS n", "rec_list AS (SELECT session_id, turn_number, CAST(trunc(count(*) / (44100.0 / 16000)) AS BIGINT) AS n")}, {CHUNKED},
 outs AS (SELECT *, unnest(range(start_frame, end_frame)) AS i FROM planned), placed AS (SELECT *, i * (CAST(44100 AS DOUBLE) / 16000) AS x FROM outs)
 SELECT p.session_id, p.turn_number, chunk_idx, start_frame, end_frame, i - start_frame AS pos,
   round(CAST(CAST(CASE WHEN b.amp IS NULL THEN a.amp ELSE a.amp * (1 - (x - floor(x))) + b.amp * (x - floor(x)) END AS FLOAT) AS DOUBLE), 5) AS amp

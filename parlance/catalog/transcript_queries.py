@@ -91,8 +91,9 @@ def detect_overlap(spark, sf):
     return transcripts.detect_overlap(noisy_chunks(spark, sf), 0.1).drop("text")
 
 
-def _merge_sql(fraction):
-    return rf"""WITH RECURSIVE {NOISY_TEXTS}, texts AS (SELECT clip_id, chunk_idx, coalesce(text, '') AS cur FROM noisy),
+def merge_sql(texts, fraction):
+    """CTEs that fold ``texts`` (clip_id, chunk_idx, cur) into ``merged`` (clip_id, chunks, text); needs WITH RECURSIVE."""
+    return rf"""texts AS ({texts}),
 prepared AS (SELECT *, {_words('cur')} AS cw, {_normals(_words('cur'))} AS cn FROM texts),
 fold AS (
   SELECT clip_id, chunk_idx, cur AS prev, cur AS merged FROM prepared WHERE chunk_idx = 0
@@ -103,9 +104,14 @@ fold AS (
     FROM (SELECT *, instr(lower(cur), lower(phrase)) AS spot FROM (SELECT *, array_to_string(cw[1 : k], ' ') AS phrase
     FROM (SELECT *, {_longest('pn', 'cn', _width('len(pn)', fraction))} AS k
     FROM (SELECT p.clip_id, p.chunk_idx, p.cur, p.cw, p.cn, f.prev, f.merged, {_normals(_words('f.prev'))} AS pn
-      FROM fold f JOIN prepared p ON p.clip_id = f.clip_id AND p.chunk_idx = f.chunk_idx + 1))))))
-SELECT clip_id, count(*) AS chunks, CASE WHEN count(*) > 1 THEN regexp_replace(arg_max(merged, chunk_idx), '\s+$', '')
-  ELSE arg_max(merged, chunk_idx) END AS text FROM fold GROUP BY clip_id"""
+      FROM fold f JOIN prepared p ON p.clip_id = f.clip_id AND p.chunk_idx = f.chunk_idx + 1)))))),
+merged AS (SELECT clip_id, count(*) AS chunks, CASE WHEN count(*) > 1 THEN regexp_replace(arg_max(merged, chunk_idx), '\s+$', '')
+  ELSE arg_max(merged, chunk_idx) END AS text FROM fold GROUP BY clip_id)"""
+
+
+def _merge_sql(fraction):
+    return f"""WITH RECURSIVE {NOISY_TEXTS}, {merge_sql("SELECT clip_id, chunk_idx, coalesce(text, '') AS cur FROM noisy", fraction)}
+SELECT * FROM merged"""
 
 
 @register("merge_transcripts", _merge_sql(0.1))

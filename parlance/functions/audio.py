@@ -23,6 +23,8 @@ ACTIVITY_HOP = 256
 ACTIVITY_WEIGHTS = (0.5, 0.3, 0.2)
 ACTIVITY_THRESHOLD = 0.02
 FULL_RMS = 0.1
+TOO_SHORT = "[Audio too short for transcription]"
+TOO_LONG = f"[Audio too long for transcription (max {MAX_FRAMES} frames).]"
 CHUNK_SECONDS = 50.0
 OVERLAP_SECONDS = 2.0
 
@@ -89,20 +91,16 @@ def crossing_ratio(crossings: Column, n: Column) -> Column:
     return F.when(n < 2, F.lit(0.0)).otherwise(F.least(F.lit(1.0), crossings / (n / F.lit(2.0))))
 
 
-def header_duration(data_size: Column, sample_rate: Column) -> Column:
-    """Seconds under the 16-bit mono assumption of the fixed-offset header read."""
-    return data_size / (sample_rate * 2).cast("double")
-
-
 def exact_duration(data_len: Column, sample_rate: Column, channels: Column, bits: Column) -> Column:
-    return data_len / (sample_rate * channels * (bits / 8))
+    """Seconds of sample data; NULL where the header leaves nothing to divide by."""
+    return F.try_divide(data_len, sample_rate * channels * (bits / 8))
 
 
 # Array forms: one row is one chunk or vector, work stays inside the row.
 
 def mean_square_array(samples: Column) -> Column:
     total = F.aggregate(samples, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return total / F.size(samples)
+    return F.try_divide(total, F.size(samples))
 
 
 def crossings_array(samples: Column) -> Column:

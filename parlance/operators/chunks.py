@@ -86,11 +86,8 @@ def length_gate(df: DataFrame, n: str = "n_samples", win: int = audio.WINDOW, ho
     return df.withColumns({"frames": frames, "padded_frames": audio.padded_frames(frames)}).withColumns({
         "length_class": audio.length_class(F.col("frames")),
         "gate_text": F.when(F.col("frames") == 0, "")
-        .when(F.col("frames") < audio.MIN_FRAMES, "[Audio too short for transcription]")
-        .when(
-            F.col("frames") > audio.MAX_FRAMES,
-            f"[Audio too long for transcription (max {audio.MAX_FRAMES} frames).]",
-        ),
+        .when(F.col("frames") < audio.MIN_FRAMES, audio.TOO_SHORT)
+        .when(F.col("frames") > audio.MAX_FRAMES, audio.TOO_LONG),
     })
 
 

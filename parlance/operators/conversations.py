@@ -215,12 +215,13 @@ def expire_sessions(sessions: DataFrame, max_age_days: int, now: Column) -> Data
 
 
 def latency_report(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Real-time factor, throughput and spread of processing times. ``calls(audio_s, wall_s, ...)``"""
+    """Real-time factor, throughput and spread of processing times. ``calls(audio_s, wall_s, ...)``. Ratios of a group
+    without audio or without processing time are NULL."""
     report = [
         F.count(F.lit(1)).alias("calls"), F.sum("audio_s").alias("audio_s"), F.sum("wall_s").alias("wall_s"),
-        (F.sum("wall_s") / F.sum("audio_s")).alias("real_time_factor"),
-        (F.sum("audio_s") / F.sum("wall_s")).alias("throughput"),
+        F.try_divide(F.sum("wall_s"), F.sum("audio_s")).alias("real_time_factor"),
+        F.try_divide(F.sum("audio_s"), F.sum("wall_s")).alias("throughput"),
         F.avg("wall_s").alias("mean_wall_s"), F.stddev_pop("wall_s").alias("stddev_wall_s"),
-        (F.sum("wall_s") / (F.sum("audio_s") / 60)).alias("wall_s_per_audio_minute"),
+        F.try_divide(F.sum("wall_s"), F.sum("audio_s") / 60).alias("wall_s_per_audio_minute"),
     ]
     return calls.groupBy(*by).agg(*report) if by else calls.agg(*report)

@@ -169,19 +169,21 @@ def pad_frames(features: DataFrame, multiple: int = audio.PAD_MULTIPLE, value: f
     return features.select("clip_id", "frame", "mel", "val").unionByName(rows)
 
 
-def to_tensor(features: DataFrame, layout: str = "mel_major", max_frames: int = audio.MAX_FRAMES) -> DataFrame:
-    """One flat array per clip for a model call. ``time_major`` orders by (frame, mel), ``mel_major`` by (mel, frame).
+def to_tensor(features: DataFrame, layout: str = "mel_major", frames_per_row: int = audio.MAX_FRAMES) -> DataFrame:
+    """Flat arrays for a model call: ``clip_id, n_frames, n_mels, first_frame, tensor``.
 
-    The model refuses clips above ``max_frames``, so those get a row with a NULL tensor and their values are never
-    gathered: a tensor has at most ``max_frames`` x mels values.
+    A row holds a run of ``frames_per_row`` frames, from ``first_frame`` on, so no row grows with the clip; up to that
+    length a clip is one row. ``time_major`` orders a run by (frame, mel), so the runs of a clip follow each other;
+    ``mel_major`` orders it by (mel, frame). Whether a model takes a clip of that length is the gate's business.
     """
     if layout not in ("mel_major", "time_major"):
         raise ValueError(f"unknown layout: {layout}")
     order = ["mel", "frame"] if layout == "mel_major" else ["frame", "mel"]
-    # Frames beyond the limit are cut before the shuffle; a clip that has any is NULLed as a whole afterwards.
-    values = F.collect_list(F.when(F.col("frame") < max_frames, F.struct(*order, "val")))
-    clips = features.groupBy("clip_id").agg(
-        (F.max("frame") + 1).cast("long").alias("n_frames"), (F.max("mel") + 1).cast("int").alias("n_mels"),
-        F.transform(F.sort_array(values), lambda v: v["val"]).alias("tensor"),
-    )
-    return clips.withColumn("tensor", F.when(F.col("n_frames") <= max_frames, F.col("tensor")))
+    first = (F.col("frame") - F.pmod(F.col("frame"), F.lit(frames_per_row))).cast("long")
+    values = F.sort_array(F.collect_list(F.struct(*order, "val")))
+    runs = features.groupBy("clip_id", first.alias("first_frame")).agg(
+        (F.max("frame") + 1).cast("long").alias("upto"), (F.max("mel") + 1).cast("int").alias("mels"),
+        F.transform(values, lambda v: v["val"]).alias("tensor"))
+    # One row per run: a clip's size comes from its runs.
+    whole = Window.partitionBy("clip_id")
+    return runs.select("clip_id", F.max("upto").over(whole).alias("n_frames"), F.max("mels").over(whole).alias("n_mels"), "first_frame", "tensor")

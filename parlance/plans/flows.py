@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import audio
@@ -26,9 +26,9 @@ def gated(load_model: Callable[[], Callable]) -> Callable[[], Callable]:
             if frames == 0:
                 return ""
             if frames < audio.MIN_FRAMES:
-                return "[Audio too short for transcription]"
+                return audio.TOO_SHORT
             if frames > audio.MAX_FRAMES:
-                return f"[Audio too long for transcription (max {audio.MAX_FRAMES} frames).]"
+                return audio.TOO_LONG
             return model(samples)
 
         return call
@@ -37,45 +37,56 @@ def gated(load_model: Callable[[], Callable]) -> Callable[[], Callable]:
 
 
 def transcribe_recordings(clips: DataFrame, load_model: Callable[[], Callable], key: Sequence[str] = ("session_id", "turn_number"),
-                          fraction: float = transcripts.FLOW_FRACTION, whole_up_to: int = WHOLE_UP_TO, **plan) -> DataFrame:
-    """Recordings with ``content`` -> one merged transcript per recording.
-
-    Chunks are decoded and scored where their file was read; only texts are shuffled, by recording, for the merge. A chunk
-    whose call failed carries the failure marker into the merge, like any text.
+                          fraction: float = transcripts.FLOW_FRACTION, whole_up_to: int = WHOLE_UP_TO, gate: bool = True, **plan) -> DataFrame:
+    """Recordings with ``content`` -> key, ``reject_reason``, ``chunks``, ``text``: one merged transcript per recording.
+
+    Each planned chunk's byte range is cut out where the file was read and dealt out by recording and chunk, so a long
+    recording is decoded and scored by many tasks; then texts are shuffled by recording for the merge. A recording that went
+    to the model in chunks carries the failure marker of a failed chunk into the merge; one that went whole gets the
+    failure text. Rejected and empty recordings keep a row, without chunks and with an empty text. ``gate=False`` leaves the
+    refusal of short and long audio to the model.
     """
-    headers = recordings.wav_header(clips.select(*key, "content"))
-    chunks = recordings.decode_pcm(headers, whole_up_to=whole_up_to, **plan)
-    scored = transcribe.transcribe(chunks, gated(load_model)).select(
-        F.to_json(F.struct(*key)).alias("clip_id"), "chunk_idx",
-        F.when(F.col("failed"), transcripts.tx.FAILED_CHUNK).otherwise(F.col("text")).alias("text"))
+    headers = recordings.wav_header(clips.select(*key, "content")).withColumn("clip_reject", F.col("reject_reason"))
+    chunks = recordings.decode_pcm(headers, whole_up_to=whole_up_to, keep_rejected=True, spread=True, **plan)
+    whole = (F.col("start_frame") == 0) & (F.col("end_frame") == F.col("clip_frames"))
+    # What a rejected recording's stand-in chunk says is dropped: there was nothing to score.
+    text = F.when(F.col("clip_frames").isNull(), "").when(F.col("failed") & ~whole, transcripts.tx.FAILED_CHUNK).otherwise(F.col("text"))
+    scored = transcribe.transcribe(chunks, gated(load_model) if gate else load_model).select(
+        F.to_json(F.struct(*key, "clip_reject", "clip_frames")).alias("clip_id"), "chunk_idx", text.alias("text"))
     merged = transcripts.merge_transcripts(scored, fraction)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in clips.select(*key).schema.fields)
-    return merged.select(F.from_json("clip_id", schema).alias("k"), "chunks", "text").select("k.*", "chunks", "text")
+    known = merged.select(F.from_json("clip_id", f"{schema}, clip_reject string, clip_frames long").alias("k"), "chunks", "text")
+    return known.select(*[F.col(f"k.{c}").alias(c) for c in key], F.col("k.clip_reject").alias("reject_reason"),
+                        F.when(F.col("k.clip_frames").isNull(), F.lit(0)).otherwise(F.col("chunks")).cast("long").alias("chunks"), "text")
 
 
 def scan_and_transcribe(spark: SparkSession, root: str, load_model: Callable[[], Callable], **options) -> DataFrame:
     return transcribe_recordings(recordings.scan_recordings(spark, root), load_model, **options)
 
 
-def live_session_turns(chunks: DataFrame, control: DataFrame, gap_ms: int = segments.GAP_MS,
-                       capacity: int = segments.CAPACITY) -> DataFrame:
+def live_session_turns(chunks: DataFrame, control: DataFrame, say: Callable[[DataFrame], DataFrame], gap_ms: int = segments.GAP_MS,
+                       capacity: int = segments.CAPACITY, reply: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Live chunks and control messages -> output messages of every turn.
 
-    A closed pause segment is a turn at the time of its last chunk. Its transcript is the stand-in model's; turns are
-    numbered, get the settings in force, and are routed. Input ``event_id`` orders simultaneous rows.
+    A closed pause segment is a turn at the time of its last chunk. ``say`` gets the turns (``session_id, segment, ts,
+    event_id, n_samples``) and adds ``transcript`` and, if it likes, ``confidence`` and ``realtime_mode`` - from a model
+    (``transcribe.transcribe`` on the segment's samples), or from a table of transcripts. Turns are numbered, get the
+    settings in force, and are routed; ``reply(smart_model, transcript)`` is the answer in smart mode. Input ``event_id``
+    orders simultaneous rows.
     """
     bounded = segments.bounded_segments(segments.segment_on_pause(chunks, gap_ms), capacity)
     turns = bounded.groupBy("session_id", "segment").agg(
         F.max(F.struct(F.col("received_at").alias("ts"), F.col("chunk_no").alias("event_id"))).alias("last"),
-        F.sum("accepted").alias("n_samples")).select("session_id", "last.*", "n_samples")
+        F.sum("accepted").alias("n_samples")).select("session_id", "segment", "last.*", "n_samples")
+    said = say(turns)
+    defaults = {"confidence": F.lit(1.0), "realtime_mode": F.lit(False)}
+    said = said.withColumns({c: v for c, v in defaults.items() if c not in said.columns}).drop("segment")
     # Turns are few compared with chunks and every step below orders them anew: written once, read by each.
-    turns = written(turns, "turns")
-    numbered = conversations.number_turns(turns)
-    known = conversations.config_as_of(numbered, control)
-    said = known.withColumn("transcript", transcribe.stub_text(F.col("n_samples")))
-    ready = said.select(
-        "session_id", "turn_number", "transcript", F.concat(F.col("smart_model"), F.lit(": "), "transcript").alias("reply"),
-        F.lit(1.0).alias("confidence"), "smart_mode", F.lit(False).alias("realtime_mode"))
+    said = written(said, "turns")
+    known = conversations.config_as_of(conversations.number_turns(said), control)
+    answer = reply or (lambda model, text: F.concat(model, F.lit(": "), text))
+    ready = known.select("session_id", "turn_number", "transcript", answer(F.col("smart_model"), F.col("transcript")).alias("reply"),
+                         "confidence", "smart_mode", "realtime_mode")
     return conversations.route_turns(ready)
 
 

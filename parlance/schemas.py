@@ -37,15 +37,3 @@ SESSION_DOCUMENT = T.StructType([
     T.StructField("turns", T.ArrayType(TURN)),
     T.StructField("configuration", SESSION_CONFIGURATION),
 ])
-
-# Control messages use snake_case names; realtime fields are not part of the message (see parse_control).
-CONTROL_MESSAGE = T.StructType([
-    T.StructField("type", T.StringType()),
-    T.StructField("smart_mode", T.BooleanType()),
-    T.StructField("smart_model", T.StringType()),
-])
-
-CHAT_MESSAGE = T.StructType([
-    T.StructField("role", T.StringType()),
-    T.StructField("content", T.StringType()),
-])

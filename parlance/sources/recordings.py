@@ -61,7 +61,7 @@ def _walk(data: bytes, total: int) -> tuple:
             fmt, channels, rate = struct.unpack_from("<hhi", data, at + 8)
             bits = struct.unpack_from("<h", data, at + 22)[0]
         elif name == b"data":
-            if bits // 8 <= 0 or channels <= 0:
+            if bits // 8 <= 0 or channels <= 0 or rate <= 0:
                 return reject("bad_format")
             return fmt, channels, rate, bits, at + 8, min(size, total - at - 8), None
         at += 8 + size + size % 2
@@ -139,29 +139,35 @@ def _resample(values: np.ndarray, first: int, start: int, end: int, ratio: float
 
 
 def decode_pcm(headers: DataFrame, chunk_s: float = audio.CHUNK_SECONDS, overlap_s: float = audio.OVERLAP_SECONDS,
-               rate: int = audio.SAMPLE_RATE, content: str = "content", whole_up_to: int = 0) -> DataFrame:
+               rate: int = audio.SAMPLE_RATE, content: str = "content", whole_up_to: int = 0, keep_rejected: bool = False,
+               spread: bool = False) -> DataFrame:
     """Header rows with their bytes -> one row per planned chunk: ``chunk_idx, start_frame, end_frame, samples``.
 
     The plan follows from the header alone, in frames of the target rate. Each chunk takes only its own byte range out of
     the file, natively, before anything reaches Python: a chunk row is a few MB however long the recording. With another
     source rate, a chunk reads one source sample more on the right, so that chunks equal slices of the resampled whole.
-    Clips of at most ``whole_up_to`` frames stay whole. Rejected files have no chunks.
+    Clips of at most ``whole_up_to`` frames stay whole. Rejected and empty files have no chunks or, with
+    ``keep_rejected``, one chunk 0 without samples and with NULL frames. ``spread`` deals the byte ranges out by clip and
+    chunk, so that the chunks of one long file are decoded (and scored, by what follows) by many tasks.
     """
     size, overlap = chunk_frames(chunk_s, overlap_s, rate)
     stride = size - overlap
     block = (audio.div(F.col("bits"), 8) * F.col("channels")).cast("long")
-    ok = headers.filter(F.col("reject_reason").isNull()).withColumn("__block", block).withColumn(
-        "__source", audio.div(F.col("data_len"), F.col("__block"))
-    ).withColumn("__ratio", F.col("sample_rate") / F.lit(float(rate))).withColumn(
+    fine = F.col("reject_reason").isNull()
+    ok = headers.withColumn("__block", F.when(fine, block)).withColumn(
+        "__source", F.when(F.col("__block") > 0, audio.div(F.col("data_len"), F.col("__block")))
+    ).withColumn("__ratio", F.when(fine, F.col("sample_rate") / F.lit(float(rate)))).withColumn(
         "clip_frames", F.when(F.col("sample_rate") == rate, F.col("__source")).otherwise(
-            (F.col("__source") / F.col("__ratio")).cast("long"))
-    ).filter(F.col("clip_frames") > 0)
+            F.try_divide("__source", "__ratio").cast("long"))
+    ).withColumn("clip_frames", F.when(F.col("clip_frames") > 0, F.col("clip_frames")))
+    if not keep_rejected:
+        ok = ok.filter(F.col("clip_frames").isNotNull())
     n = F.col("clip_frames")
     whole = n <= max(size, whole_up_to)
     count = F.when(whole, F.lit(1).cast("long")).otherwise(audio.div(n - size + (stride - 1), stride) + 1)
     key = [c for c in headers.columns if c not in (content, *[f.name for f in schemas.WAV_HEADER.fields], "warning")]
-    planned = ok.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).withColumn(
-        "start_frame", F.col("__i") * stride
+    planned = ok.withColumn("__i", F.explode(F.coalesce(F.sequence(F.lit(0).cast("long"), count - 1), F.array(F.lit(0).cast("long"))))).withColumn(
+        "start_frame", F.when(n.isNotNull(), F.col("__i") * stride)
     ).withColumn("chunk_idx", F.col("__i").cast("int")).withColumn("end_frame", F.when(whole, n).otherwise(F.least(F.col("start_frame") + size, n)))
     first = F.floor(F.col("start_frame") * F.col("__ratio")).cast("long")
     last = F.least(F.floor((F.col("end_frame") - 1) * F.col("__ratio")).cast("long") + 2, F.col("__source"))
@@ -170,6 +176,8 @@ def decode_pcm(headers: DataFrame, chunk_s: float = audio.CHUNK_SECONDS, overlap
         F.substring(content, (F.col("data_offset") + first * F.col("__block") + 1).cast("int"),
                     ((last - first) * F.col("__block")).cast("int")).alias("__bytes"),
     )
+    if spread:
+        cut = cut.repartition(F.xxhash64(*key), F.col("chunk_idx"))
     keep = [*key, "chunk_idx", "start_frame", "end_frame", "clip_frames"]
     schema = T.StructType([*[cut.schema[c] for c in keep], T.StructField("samples", T.ArrayType(T.FloatType()))])
 
@@ -178,12 +186,17 @@ def decode_pcm(headers: DataFrame, chunk_s: float = audio.CHUNK_SECONDS, overlap
             samples = []
             for row in part.itertuples(index=False, name=None):
                 at = dict(zip(part.columns, row))
+                if at["__bytes"] is None:
+                    samples.append(np.zeros(0, dtype=np.float32))
+                    continue
                 values = _pcm(bytes(at["__bytes"]), at["bits"], at["channels"])
+                start, end = int(at["start_frame"]), int(at["end_frame"])
                 if at["__ratio"] != 1.0:
-                    values = _resample(values, at["__first"], at["start_frame"], at["end_frame"], at["__ratio"])
-                samples.append(values[: at["end_frame"] - at["start_frame"]].astype(np.float32))
+                    values = _resample(values, int(at["__first"]), start, end, at["__ratio"])
+                samples.append(values[: end - start].astype(np.float32))
             if samples:
-                yield part[keep].assign(samples=samples)
+                frames = {c: part[c].astype("Int64") for c in ("start_frame", "end_frame", "clip_frames")}
+                yield part[keep].assign(**frames, samples=samples)
 
     return cut.mapInPandas(decode, schema)
 

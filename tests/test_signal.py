@@ -114,7 +114,10 @@ def test_log_mel_forms_agree(spark, block_size):
     assert len(tensors["c"].tensor) == 8 * 128 and tensors["c"].tensor[60 * 8 + 1] == a[("c", 1, 60)]
     flat = {r.clip_id: r.tensor for r in spectrum.to_tensor(padded, "time_major").collect()}
     assert flat["c"][128 + 60] == a[("c", 1, 60)] and flat["c"][5 * 128] == 0.0
-    assert {r.clip_id for r in spectrum.to_tensor(padded, max_frames=7).collect() if r.tensor is None} == {"c", "e"}
+    runs = sorted((r.clip_id, r.first_frame, r.n_frames, r.n_mels, len(r.tensor)) for r in spectrum.to_tensor(padded, frames_per_row=5).collect())
+    assert runs == [(c, first, 8, 128, n * 128) for c in "ce" for first, n in ((0, 5), (5, 3))]
+    parts = sorted((r.first_frame, r.tensor) for r in spectrum.to_tensor(padded, "time_major", 5).collect() if r.clip_id == "c")
+    assert parts[0][1] + parts[1][1] == flat["c"]
 
 
 PLANS = {0: (0, None), 30: (1, (0, 480000)), 50: (1, (0, 800000)), 60: (2, (768000, 960000)), 100: (3, (1536000, 1600000)),

@@ -98,11 +98,53 @@ def test_export_scan_and_transcribe(spark, tmp_path, rows):
         return lambda samples: f"got {len(samples)} of {samples[0]:.1f}"
 
     out = flows.scan_and_transcribe(spark, root, load, chunk_s=.0625, overlap_s=0, whole_up_to=0, fraction=.1)
-    assert rows(out) == [("s1", 1, 1, "[Audio too short for transcription]"), ("s1", 2, 1, ""), ("s2", 12, 2, "[Audio too short for transcription] [Audio too short for transcription]")]
+    assert rows(out, "session_id", "turn_number", "reject_reason", "chunks", "text") == [
+        ("s1", 1, None, 1, "[Audio too short for transcription]"), ("s1", 2, None, 1, ""),
+        ("s2", 12, None, 2, "[Audio too short for transcription] [Audio too short for transcription]")]
     long = flows.transcribe_recordings(scanned.filter("length > 2000"), load)
     assert rows(long, "text") == [("got 1300 of 0.0",)]
 
 
+def test_every_recording_keeps_a_row(spark, rows):
+    df = spark.createDataFrame([("s", 1, [.5] * 900), ("s", 2, [.5] * 300), ("s", 3, [.5] * 40), ("s", 4, []), ("s", 5, [.5] * 40)],
+                               "session_id string, turn_number int, samples array<double>")
+    files = rec.encode_wav(df)
+    content, rest = F.col("content"), F.length("content")
+    files = files.withColumn("content", F.when(F.col("turn_number") == 3, F.concat(F.substring(content, 1, 24), F.lit(bytearray(4)), F.substring(content, F.lit(29), rest)))
+                             .when(F.col("turn_number") == 5, F.lit(bytearray(b"RIFF"))).otherwise(content))
+
+    def load():
+        def model(samples):
+            raise RuntimeError("out of order")
+
+        return model
+
+    out = flows.transcribe_recordings(files, load, chunk_s=.025, overlap_s=0, whole_up_to=0, gate=False)
+    marker = "[Error processing chunk]"
+    out = out.withColumn("text", F.when(F.col("text").startswith(marker), marker).otherwise(F.col("text")))
+    assert rows(out, "turn_number", "reject_reason", "chunks", "text") == [
+        (1, None, 3, marker), (2, None, 1, "[Transcription error: out of order]"), (3, "bad_format", 0, ""), (4, "no_data", 0, ""), (5, "too_short", 0, "")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" in plan.upper()
+
+
+def test_malformed_session_documents(spark, tmp_path, rows):
+    (tmp_path / "a.json").write_text('{"sessionId": "a", "turns": [{"turnNumber": 1}]}\n{"sessionId": "b", "turns": [\n{"turns": []}\nnot json\n')
+    docs = sessions.scan_sessions(spark, str(tmp_path))
+    assert rows(docs, "session_id", "reject_reason") == [("a", None), (None, "malformed"), (None, "malformed"), (None, "no_session_id")]
+    assert rows(sessions.explode_turns(docs), "session_id", "turn_number") == [("a", 1)]
+
+
+def test_ratios_of_nothing(spark, rows):
+    from parlance.functions import audio
+    from parlance.operators import conversations
+
+    calls = spark.createDataFrame([("a", 0.0, 0.0), ("b", 2.0, 1.0)], "kind string, audio_s double, wall_s double")
+    assert rows(conversations.latency_report(calls, ["kind"]), "kind", "real_time_factor", "throughput") == [("a", None, None), ("b", 0.5, 2.0)]
+    arrays = spark.createDataFrame([([],), ([2.0, 0.0],)], "s array<double>")
+    assert rows(arrays.select(audio.mean_square_array(F.col("s")))) == [(2.0,), (None,)]
+
+
 def test_session_documents(spark, tmp_path, rows):
     start = dt.datetime(2026, 2, 17, 14, 30)
     turns = spark.createDataFrame([("a", n, start + dt.timedelta(seconds=n), f"q{n}", f"r{n}", 1.5) for n in (3, 1, 2)] + [("b", 1, start, "x", "y", None)],
