@@ -1,6 +1,7 @@
 """Registered queries; importing the package fills ``registry.QUERIES`` and ``registry.ORACLE``."""
 
 from parlance.catalog import (  # noqa: F401
+    block_queries,
     conversation_queries,
     flow_queries,
     manifest_queries,

@@ -97,11 +97,11 @@ n AS (SELECT *, CAST(coalesce(sum(CASE WHEN is_end THEN 1 ELSE 0 END) OVER (PART
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS message_no FROM f)
 SELECT connection, message_no, count(*) AS fragments, string_agg(part, '' ORDER BY seq) AS text
 FROM n GROUP BY connection, message_no HAVING bool_or(is_end)""")
-def reassemble_fragments(spark, sf):
+def reassemble_fragments(spark, sf, **blocks):
     parts = proxies.table(spark, sf, "events").select(
         F.col("user_id").alias("connection"), F.col("event_id").alias("seq"),
         F.concat("event_type", F.lit(";")).alias("part"), (F.col("event_type") == "purchase").alias("is_end"))
-    return segments.reassemble_fragments(parts)
+    return segments.reassemble_fragments(parts, **blocks)
 
 
 _LOGS = """px_logs AS (SELECT event_id AS log_id, ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level,
@@ -162,8 +162,8 @@ def number_turns(spark, sf):
   lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT session_id, seq, text AS user_transcript, CASE WHEN next_role = 'assistant' THEN next_text END AS assistant_response
 FROM n WHERE role = 'user'""")
-def pair_turns(spark, sf):
-    return conversations.pair_turns(proxies.messages(spark, sf))
+def pair_turns(spark, sf, **blocks):
+    return conversations.pair_turns(proxies.messages(spark, sf), **blocks)
 
 
 _SPOKEN = """spoken AS (SELECT conv_id AS session_id, turn AS seq, CASE

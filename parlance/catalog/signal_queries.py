@@ -66,13 +66,13 @@ LEFT JOIN px_samples b ON b.clip_id = o.clip_id AND b.idx = CAST(floor(pos) AS B
 
 
 @register("resample_linear", _resample_sql(44100, 16000))
-def resample_linear(spark, sf):
-    return rounded(signal.resample_linear(proxies.samples(spark, sf), 44100, 16000), "amp")
+def resample_linear(spark, sf, **blocks):
+    return rounded(signal.resample_linear(proxies.samples(spark, sf), 44100, 16000, **blocks), "amp")
 
 
 @register("resample_linear_up", _resample_sql(8000, 16000))
-def resample_linear_up(spark, sf):
-    return rounded(signal.resample_linear(proxies.samples(spark, sf), 8000, 16000), "amp")
+def resample_linear_up(spark, sf, **blocks):
+    return rounded(signal.resample_linear(proxies.samples(spark, sf), 8000, 16000, **blocks), "amp")
 
 
 def _frames_cte(win, hop, name="framed"):
@@ -86,8 +86,8 @@ frame_list AS (SELECT clip_id, f AS frame FROM lens, LATERAL (SELECT unnest(rang
 
 @register("frame_signal", f"""WITH {SAMPLES}, {_frames_cte(100, 40)}
 SELECT clip_id, frame, pos, round(amp, 6) AS amp FROM framed""")
-def frame_signal(spark, sf):
-    return rounded(signal.frame_signal(proxies.samples(spark, sf), 100, 40), "amp")
+def frame_signal(spark, sf, **blocks):
+    return rounded(signal.frame_signal(proxies.samples(spark, sf), 100, 40, **blocks), "amp")
 
 
 @register("frame_arrays", """
@@ -144,8 +144,8 @@ _CROSSINGS = """crossings AS (
 
 @register("zero_crossing_rate", f"""WITH {SAMPLES}, {_CROSSINGS}
 SELECT clip_id, n_samples, crossings, round(least(1.0, crossings / (n_samples / 2.0)), 6) AS zcr FROM crossings""")
-def zero_crossing_rate(spark, sf):
-    return rounded(signal.zero_crossing_rate(proxies.samples(spark, sf)), "zcr")
+def zero_crossing_rate(spark, sf, **blocks):
+    return rounded(signal.zero_crossing_rate(proxies.samples(spark, sf), **blocks), "zcr")
 
 
 @register("zero_crossing_rate_arrays", """
@@ -259,8 +259,8 @@ normed AS (SELECT l.clip_id, l.frame, l.mel, (l.val - s.m) / (s.s + 1e-5) AS val
 
 
 @register("normalize_per_feature", f"{_NORMALIZED} SELECT clip_id, frame, mel, round(val, 4) + 0.0 AS val FROM normed")
-def normalize_per_feature(spark, sf):
-    return rounded(spectrum.normalize_per_feature(_mel_rows(spark, sf)), "val", digits=4).withColumn(
+def normalize_per_feature(spark, sf, **blocks):
+    return rounded(spectrum.normalize_per_feature(_mel_rows(spark, sf), **blocks), "val", digits=4).withColumn(
         "val", F.col("val") + F.lit(0.0))
 
 
@@ -333,9 +333,9 @@ SELECT clip_id, count(*) AS chunks, count(*) FILTER (WHERE prev_end < start_fram
   count(*) FILTER (WHERE start_frame <= prev_start) AS order_errors, min(start_frame) = 0 AS starts_at_zero,
   max(end_frame) = max(clip_frames) AS covers_end, min(prev_end - start_frame) AS min_overlap,
   max(prev_end - start_frame) AS max_overlap FROM linked GROUP BY clip_id""")
-def audit_chunk_coverage(spark, sf):
+def audit_chunk_coverage(spark, sf, **blocks):
     plan = chunks.plan_chunks(_lengths(spark, sf))
-    return chunks.audit_chunk_coverage(plan.filter((F.col("clip_id") % 7 != 0) | (F.col("chunk_idx") != 1)))
+    return chunks.audit_chunk_coverage(plan.filter((F.col("clip_id") % 7 != 0) | (F.col("chunk_idx") != 1)), **blocks)
 
 
 @register("length_gate", """WITH lens AS (SELECT o_orderkey AS clip_id,

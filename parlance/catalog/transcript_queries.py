@@ -87,8 +87,8 @@ w AS (SELECT *, {_words('prev')} AS pw, {_words('cur')} AS cw FROM linked),
 n AS (SELECT *, {_normals('pw')} AS pn, {_normals('cw')} AS cn FROM w),
 k AS (SELECT *, {_longest('pn', 'cn', _width('len(pn)', 0.1))} AS k FROM n)
 SELECT clip_id, chunk_idx, CAST(k AS INTEGER) AS overlap_words, CASE WHEN k > 0 THEN array_to_string(cw[1 : k], ' ') END AS overlap_text FROM k""")
-def detect_overlap(spark, sf):
-    return transcripts.detect_overlap(noisy_chunks(spark, sf), 0.1).drop("text")
+def detect_overlap(spark, sf, **blocks):
+    return transcripts.detect_overlap(noisy_chunks(spark, sf), 0.1, **blocks).drop("text")
 
 
 def merge_sql(texts, fraction):
@@ -115,19 +115,19 @@ SELECT * FROM merged"""
 
 
 @register("merge_transcripts", _merge_sql(0.1))
-def merge_transcripts(spark, sf):
-    return transcripts.merge_transcripts(noisy_chunks(spark, sf), 0.1)
+def merge_transcripts(spark, sf, **blocks):
+    return transcripts.merge_transcripts(noisy_chunks(spark, sf), 0.1, **blocks)
 
 
 @register("merge_transcripts_flow", _merge_sql(2.0))
-def merge_transcripts_flow(spark, sf):
-    return transcripts.merge_transcripts(noisy_chunks(spark, sf), transcripts.FLOW_FRACTION)
+def merge_transcripts_flow(spark, sf, **blocks):
+    return transcripts.merge_transcripts(noisy_chunks(spark, sf), transcripts.FLOW_FRACTION, **blocks)
 
 
 @register("concat_transcripts", f"""WITH {NOISY_TEXTS} SELECT clip_id, coalesce(string_agg(text, ' ' ORDER BY chunk_idx)
   FILTER (WHERE text <> ''), '') AS text FROM noisy GROUP BY clip_id""")
-def concat_transcripts(spark, sf):
-    return transcripts.concat_transcripts(noisy_chunks(spark, sf))
+def concat_transcripts(spark, sf, **blocks):
+    return transcripts.concat_transcripts(noisy_chunks(spark, sf), **blocks)
 
 
 @register("transcript_agreement", rf"""WITH pairs AS (SELECT conv_id, turn, text AS expected,
@@ -160,21 +160,21 @@ _IDS = """ids AS (SELECT l_suppkey AS clip_id, l_partkey AS token_id, row_number
 j AS (SELECT i.clip_id, string_agg(piece, '' ORDER BY seq) FILTER (WHERE piece NOT IN ('', '<blank>', '<pad>', '<unk>')) AS t
       FROM ids i LEFT JOIN v ON v.token_id = i.token_id GROUP BY i.clip_id)
 SELECT clip_id, regexp_replace(replace(replace(coalesce(t, ''), '▁', ' '), '##', ''), '^\s+|\s+$', '', 'g') AS text FROM j""")
-def detokenize(spark, sf):
+def detokenize(spark, sf, **blocks):
     key = F.col("p_partkey")
     vocab = proxies.table(spark, sf, "part").select(
         key.alias("token_id"),
         F.when(key % 9 == 0, "<unk>").when(key % 9 == 1, "").when(key % 9 == 2, F.concat(F.lit("##"), "p_brand"))
         .when(key % 2 == 0, F.concat(F.lit("▁"), "p_type")).otherwise(F.col("p_brand")).alias("piece"))
-    return transcripts.detokenize(proxies.token_ids(spark, sf), vocab)
+    return transcripts.detokenize(proxies.token_ids(spark, sf), vocab, **blocks)
 
 
 @register("detokenize_characters", f"""WITH {_IDS} SELECT clip_id, coalesce(string_agg(chr(CAST(32 + token_id % 90 AS INTEGER)), '' ORDER BY seq)
   FILTER (WHERE token_id % 5 <> 0), '') AS text FROM ids GROUP BY clip_id""")
-def detokenize_characters(spark, sf):
+def detokenize_characters(spark, sf, **blocks):
     ids = proxies.token_ids(spark, sf)
     code = F.when(F.col("token_id") % 5 == 0, F.lit(0)).otherwise(32 + F.col("token_id") % 90)
-    return transcripts.detokenize(ids.withColumn("token_id", code))
+    return transcripts.detokenize(ids.withColumn("token_id", code), **blocks)
 
 
 @register("progressive_text", """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS words FROM conversations WHERE role = 'assistant')

@@ -56,11 +56,11 @@ def model_chunks(df: DataFrame, length: str = "n_samples", whole_up_to: int = 96
     return single.unionByName(plan_chunks(df.filter(n > whole_up_to), length=length, **plan))
 
 
-def audit_chunk_coverage(plan: DataFrame, key: str = "clip_id") -> DataFrame:
+def audit_chunk_coverage(plan: DataFrame, key: str = "clip_id", per_block: int = CHUNKS_PER_BLOCK) -> DataFrame:
     """One row per clip: number of chunks, gaps, order errors, whether the last chunk ends at the clip's end,
     and the narrowest and widest overlap."""
     with_prev = with_previous(
-        plan, [key], ["chunk_idx"], sequence_block("chunk_idx", CHUNKS_PER_BLOCK),
+        plan, [key], ["chunk_idx"], sequence_block("chunk_idx", per_block),
         {"prev_end": "end_frame", "prev_start": "start_frame"},
     )
     overlap = F.col("prev_end") - F.col("start_frame")

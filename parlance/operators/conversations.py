@@ -31,10 +31,10 @@ def number_turns(df: DataFrame, order: Sequence[str] = ("ts", "event_id"), block
     return with_row_number(df, SESSION, list(order), time_block(order[0], block_seconds), "turn_number")
 
 
-def pair_turns(messages: DataFrame) -> DataFrame:
+def pair_turns(messages: DataFrame, per_block: int = MESSAGES_PER_BLOCK) -> DataFrame:
     """Each user message with the assistant message right after it, if there is one."""
     linked = with_following(
-        messages, SESSION, ["seq"], sequence_block("seq", MESSAGES_PER_BLOCK),
+        messages, SESSION, ["seq"], sequence_block("seq", per_block),
         {"next_role": "role", "next_text": "text"},
     )
     return linked.filter(F.col("role") == "user").select(

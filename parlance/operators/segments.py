@@ -104,16 +104,16 @@ def flush_segments(bounded: DataFrame, order: Sequence[str] = ("received_at", "c
 
 
 def reassemble_fragments(df: DataFrame, key: str = "connection", order: str = "seq", text: str = "part",
-                         end: str = "is_end") -> DataFrame:
+                         end: str = "is_end", per_block: int = FRAGMENTS_PER_BLOCK) -> DataFrame:
     """``(connection, message_no, text, fragments)`` for complete messages. A message number is the count of end
     flags before the fragment; fragments after the last end flag belong to no message yet."""
     numbered = with_running_sum(
-        df, [key], [order], sequence_block(order, FRAGMENTS_PER_BLOCK), F.col(end).cast("long"), "message_no", inclusive=False
+        df, [key], [order], sequence_block(order, per_block), F.col(end).cast("long"), "message_no", inclusive=False
     )
     sizes = numbered.groupBy(key, "message_no").agg(F.count(F.lit(1)).alias("fragments"), F.bool_or(end).alias("complete"))
     whole = numbered.join(sizes.filter("complete").drop("complete"), [key, "message_no"])
     return concat_ordered(
-        whole, [key, "message_no", "fragments"], [order], sequence_block(order, FRAGMENTS_PER_BLOCK), text, "", "text"
+        whole, [key, "message_no", "fragments"], [order], sequence_block(order, per_block), text, "", "text"
     )
 
 

@@ -31,14 +31,14 @@ def quantize(df: DataFrame) -> DataFrame:
     return df.withColumn("pcm", audio.quantize_pcm16(F.col("amp")))
 
 
-def resample_linear(df: DataFrame, src: int, dst: int) -> DataFrame:
+def resample_linear(df: DataFrame, src: int, dst: int, per_block: int = SAMPLES_PER_BLOCK) -> DataFrame:
     """Linear interpolation to ``dst`` Hz. Each source sample produces, map-side, the outputs that fall between
     it and its successor; the last sample is held."""
     if src == dst:
         return df.select("clip_id", "idx", "amp")
     ratio = src / dst
     joined = block_scan(
-        df, KEY, ["idx"], sequence_block("idx", SAMPLES_PER_BLOCK),
+        df, KEY, ["idx"], sequence_block("idx", per_block),
         local=[{"__next": lambda s: F.lead("amp").over(s.step)}],
         summary={"__first": F.min_by("amp", "idx"), "__rows": F.count(F.lit(1))},
         carry=[{
@@ -64,10 +64,10 @@ def resample_linear(df: DataFrame, src: int, dst: int) -> DataFrame:
     )
 
 
-def frame_signal(df: DataFrame, win: int = audio.WINDOW, hop: int = audio.HOP) -> DataFrame:
+def frame_signal(df: DataFrame, win: int = audio.WINDOW, hop: int = audio.HOP, per_block: int = SAMPLES_PER_BLOCK) -> DataFrame:
     """``(clip_id, frame, pos, amp)`` for complete frames. Every sample finds its frames map-side; the clip length
     that tells complete frames arrives per ``(clip, run of samples)``, before samples are repeated."""
-    sized = with_totals(df, KEY, sequence_block("idx", SAMPLES_PER_BLOCK), {"__n": F.lit(1)})
+    sized = with_totals(df, KEY, sequence_block("idx", per_block), {"__n": F.lit(1)})
     framed = _to_frames(sized, "idx", 1, win, hop).filter(F.col("frame") * hop + win <= F.col("__n"))
     return framed.select("clip_id", "frame", (F.col("idx") - F.col("frame") * hop).alias("pos"), "amp")
 
@@ -129,13 +129,13 @@ def mean_frame_energy(df: DataFrame, win: int = audio.ACTIVITY_FRAME, hop: int =
     return _frame_energy(_bins(df, win, hop, {"sq": F.col("amp") * F.col("amp")}), win, hop)
 
 
-def _with_crossings(df: DataFrame) -> DataFrame:
-    prev = with_previous(df, KEY, ["idx"], sequence_block("idx", SAMPLES_PER_BLOCK), {"__prev": "amp"})
+def _with_crossings(df: DataFrame, per_block: int) -> DataFrame:
+    prev = with_previous(df, KEY, ["idx"], sequence_block("idx", per_block), {"__prev": "amp"})
     return prev.withColumn("crossing", audio.crosses_zero(F.col("__prev"), F.col("amp")).cast("long")).drop("__prev")
 
 
-def zero_crossing_rate(df: DataFrame) -> DataFrame:
-    return _with_crossings(df).groupBy("clip_id").agg(
+def zero_crossing_rate(df: DataFrame, per_block: int = SAMPLES_PER_BLOCK) -> DataFrame:
+    return _with_crossings(df, per_block).groupBy("clip_id").agg(
         F.count(F.lit(1)).alias("n_samples"), F.sum("crossing").alias("crossings")
     ).withColumn("zcr", audio.crossing_ratio(F.col("crossings"), F.col("n_samples")))
 

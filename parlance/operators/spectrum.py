@@ -138,14 +138,14 @@ def log_floor(features: DataFrame, eps: float = audio.LOG_FLOOR) -> DataFrame:
     return features.withColumn("val", audio.log_floor(F.col("val"), eps))
 
 
-def normalize_per_feature(features: DataFrame) -> DataFrame:
+def normalize_per_feature(features: DataFrame, per_block: int = FRAMES_PER_BLOCK) -> DataFrame:
     """Zero mean and unit deviation per ``(clip, mel)`` over time; population deviation plus 1e-5.
 
     Count, mean and squared deviations are aggregated map-side per ``(clip, mel, run of frames)`` and combined over the
     runs of a feature, so a long clip is never gathered and nothing is lost to sums of large squares.
     """
     unit = ["clip_id", "mel", BLOCK]
-    rows = features.withColumn(BLOCK, sequence_block("frame", FRAMES_PER_BLOCK))
+    rows = features.withColumn(BLOCK, sequence_block("frame", per_block))
     runs = rows.groupBy(*unit).agg(
         F.count(F.lit(1)).alias("__k"), F.avg("val").alias("__m"), (F.var_pop("val") * F.count(F.lit(1))).alias("__sq"))
     whole = Window.partitionBy("clip_id", "mel")

@@ -36,9 +36,9 @@ def _longest_overlap(prev: Column, cur: Column, fraction: float) -> Column:
         F.get(tx.matching_lengths(p["a"], p["b"], tx.search_width(F.size(p["a"]), fraction)), F.lit(0)), F.lit(0)))
 
 
-def detect_overlap(df: DataFrame, fraction: float = DEFAULT_FRACTION) -> DataFrame:
+def detect_overlap(df: DataFrame, fraction: float = DEFAULT_FRACTION, per_block: int = CHUNKS_PER_BLOCK) -> DataFrame:
     """For each chunk after the first: words shared by the end of the previous text and the start of this one."""
-    linked = with_previous(df, CLIP, ["chunk_idx"], sequence_block("chunk_idx", CHUNKS_PER_BLOCK), {"prev_text": "text"})
+    linked = with_previous(df, CLIP, ["chunk_idx"], sequence_block("chunk_idx", per_block), {"prev_text": "text"})
     prev, cur = F.coalesce("prev_text", F.lit("")), F.coalesce("text", F.lit(""))
     return linked.withColumn("overlap_words", _longest_overlap(prev, cur, fraction)).withColumn(
         "overlap_text",
@@ -95,13 +95,13 @@ def _lost(effect: Column, before: Column, fraction: float) -> Column:
     return F.coalesce(F.when(effect["table"].isNotNull(), F.get(effect["table"], before)).otherwise(plain), F.lit(0))
 
 
-def merge_pieces(df: DataFrame, fraction: float = DEFAULT_FRACTION) -> DataFrame:
+def merge_pieces(df: DataFrame, fraction: float = DEFAULT_FRACTION, per_block: int = CHUNKS_PER_BLOCK) -> DataFrame:
     """``(clip_id, block, pieces ARRAY<chunk_idx, piece>)``: what each chunk adds to the merged transcript.
 
     Each chunk is compared with what was *kept* of the chunk before it, so the rule is a chain. The expensive part,
     comparing neighbouring texts, does not depend on the chain: every chunk computes, in parallel, how many words it
     loses for each possible number lost by its predecessor. The chain itself is then array lookups: within a block of
-    1,024 chunks in order, and across the blocks of a longer clip by composing block functions. Empty chunks repeat
+    ``per_block`` chunks in order, and across the blocks of a longer clip by composing block functions. Empty chunks repeat
     the piece before them.
     """
     texts = df.select("clip_id", F.col("chunk_idx").cast("long").alias("chunk_idx"),
@@ -109,7 +109,7 @@ def merge_pieces(df: DataFrame, fraction: float = DEFAULT_FRACTION) -> DataFrame
     said = texts.withColumn("__said", F.when(F.col("text") != "", F.col("text")))
     at = F.when(F.col("__said").isNotNull(), F.col("chunk_idx"))
     linked = block_scan(
-        said, CLIP, ["chunk_idx"], sequence_block("chunk_idx", CHUNKS_PER_BLOCK),
+        said, CLIP, ["chunk_idx"], sequence_block("chunk_idx", per_block),
         local=[{"__prev": lambda s: F.last("__said", ignorenulls=True).over(s.before)}],
         summary={"__last": F.max_by("__said", at)},
         carry=[{"__carried": lambda s: F.last("__last", ignorenulls=True).over(s.before),
@@ -172,9 +172,9 @@ def _entering_states(stepped: DataFrame, fraction: float) -> DataFrame:
         "clip_id", f"o.{BLOCK}", "o.entering")
 
 
-def merge_transcripts(df: DataFrame, fraction: float = DEFAULT_FRACTION) -> DataFrame:
+def merge_transcripts(df: DataFrame, fraction: float = DEFAULT_FRACTION, per_block: int = CHUNKS_PER_BLOCK) -> DataFrame:
     """One merged text per clip. Blocks join their pieces first; the final row is as long as its text."""
-    parts = merge_pieces(df, fraction).select(
+    parts = merge_pieces(df, fraction, per_block).select(
         "clip_id", BLOCK, F.size("pieces").alias("chunks"),
         F.array_join(F.transform("pieces", lambda p: p["piece"]), " ").alias("part"),
     )
@@ -184,11 +184,11 @@ def merge_transcripts(df: DataFrame, fraction: float = DEFAULT_FRACTION) -> Data
         "text", F.when(F.col("chunks") > 1, F.regexp_replace("text", r"(?U)\s+$", "")).otherwise(F.col("text")))
 
 
-def concat_transcripts(df: DataFrame) -> DataFrame:
+def concat_transcripts(df: DataFrame, per_block: int = CHUNKS_PER_BLOCK) -> DataFrame:
     """Texts of a clip in order, empty ones skipped, joined by spaces. Clips without any text keep an empty row.
     This is also the result when texts and chunks differ in number: no overlap is removed."""
     texts = df.select("clip_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.nullif("text", F.lit("")).alias("text"))
-    return concat_ordered(texts, CLIP, ["chunk_idx"], sequence_block("chunk_idx", CHUNKS_PER_BLOCK), "text", " ", "text")
+    return concat_ordered(texts, CLIP, ["chunk_idx"], sequence_block("chunk_idx", per_block), "text", " ", "text")
 
 
 def transcript_agreement(df: DataFrame, expected: str = "expected", actual: str = "actual", min_rate: float = 0.8) -> DataFrame:
@@ -211,7 +211,7 @@ def _finish(text: Column) -> Column:
     return tx.trimmed(F.replace(F.replace(text, F.lit(tx.WORD_BOUNDARY), F.lit(" ")), F.lit(tx.WORD_CONTINUATION), F.lit("")))
 
 
-def detokenize(ids: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+def detokenize(ids: DataFrame, vocab: DataFrame | None = None, per_block: int = TOKENS_PER_BLOCK) -> DataFrame:
     """``(clip_id, seq, token_id)`` -> text per clip. Ids outside the vocabulary and special pieces are skipped; without
     a vocabulary, ids 1..255 are character codes. Clips without usable pieces yield an empty text.
 
@@ -221,10 +221,10 @@ def detokenize(ids: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     if vocab is None:
         code = F.col("token_id")
         pieces = ids.withColumn("piece", F.when((code > 0) & (code < 256), F.chr(code)))
-        return concat_ordered(pieces, CLIP, ["seq"], sequence_block("seq", TOKENS_PER_BLOCK), "piece", "", "text")
+        return concat_ordered(pieces, CLIP, ["seq"], sequence_block("seq", per_block), "piece", "", "text")
     usable = vocab.filter((F.col("piece") != "") & ~F.col("piece").isin(*tx.SPECIAL_PIECES)).select("token_id", "piece")
     pieces = salted_join(ids, usable, ["token_id"], F.col("seq"), "left", salts=8)
-    texts = concat_ordered(pieces, CLIP, ["seq"], sequence_block("seq", TOKENS_PER_BLOCK), "piece", "", "text")
+    texts = concat_ordered(pieces, CLIP, ["seq"], sequence_block("seq", per_block), "piece", "", "text")
     return texts.withColumn("text", _finish(F.col("text")))
 
 
