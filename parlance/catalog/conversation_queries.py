@@ -248,18 +248,21 @@ def attach_durations(spark, sf):
 
 
 _AS_OF = f"""{CONTROL}, merged AS (
-  SELECT session_id, event_id, ts, setting, true AS is_turn, NULL AS smart_mode, NULL AS smart_model FROM px_events WHERE type = 'audio'
-  UNION ALL SELECT session_id, event_id, ts, NULL, false, smart_mode, smart_model FROM px_control WHERE type = 'config'),
+  SELECT session_id, event_id, ts, setting, true AS is_turn, NULL AS smart_mode, NULL AS smart_model, NULL AS pause_ms FROM px_events WHERE type = 'audio'
+  UNION ALL SELECT session_id, event_id, ts, NULL, false, smart_mode, smart_model, CASE WHEN event_id % 3 = 0 THEN CAST(500 + event_id % 7 * 100 AS INTEGER) END FROM px_control WHERE type = 'config'),
 as_of AS (SELECT session_id, event_id, ts, setting, is_turn,
   coalesce(last_value(smart_mode IGNORE NULLS) OVER w, false) AS smart_mode,
-  coalesce(last_value(smart_model IGNORE NULLS) OVER w, 'phi3') AS smart_model FROM merged
+  coalesce(last_value(smart_model IGNORE NULLS) OVER w, 'phi3') AS smart_model,
+  coalesce(last_value(pause_ms IGNORE NULLS) OVER w, 800) AS pause_ms FROM merged
   WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-@register("config_as_of", f"WITH {_AS_OF} SELECT session_id, event_id, setting, smart_mode, smart_model FROM as_of WHERE is_turn")
+@register("config_as_of", f"WITH {_AS_OF} SELECT session_id, event_id, setting, smart_mode, smart_model, pause_ms FROM as_of WHERE is_turn")
 def config_as_of(spark, sf):
-    turns = conversations.config_as_of(proxies.audio_turns(spark, sf), proxies.control(spark, sf))
-    return turns.select("session_id", "event_id", "setting", "smart_mode", "smart_model")
+    number = F.col("event_id")
+    control = proxies.control(spark, sf).withColumn("pause_ms", F.when(number % 3 == 0, (500 + number % 7 * 100).cast("int")))
+    turns = conversations.config_as_of(proxies.audio_turns(spark, sf), control)
+    return turns.select("session_id", "event_id", "setting", "smart_mode", "smart_model", "pause_ms")
 
 
 _EPOCHS = f"""{EVENTS}, counted AS (SELECT *, CAST(sum(CASE WHEN type = 'clear_history' THEN 1 ELSE 0 END)

@@ -111,7 +111,8 @@ def attach_durations(turns: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def config_as_of(turns: DataFrame, control: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
-    """Settings in force at each turn: the last value set before it, else the default.
+    """Settings in force at each turn - ``smart_mode, smart_model, pause_ms`` - the last value set before it, else the
+    default. Control messages without a ``pause_ms`` column leave the pause threshold as it is.
 
     As-of join without a join: both tables in one ordering per session, last known value carried forward.
     """
@@ -119,19 +120,21 @@ def config_as_of(turns: DataFrame, control: DataFrame, block_seconds: int = BLOC
     null_mode, null_model = F.lit(None).cast("boolean"), F.lit(None).cast("string")
     rest = [c for c in turns.columns if c not in ("session_id", *order)]
     asked = turns.select("session_id", *order, F.struct(*rest).alias("turn") if rest else F.lit(True).alias("turn"),
-                         null_mode.alias("set_mode"), null_model.alias("set_model"))
+                         null_mode.alias("set_mode"), null_model.alias("set_model"), F.lit(None).cast("int").alias("set_pause"))
+    pause = F.col("pause_ms") if "pause_ms" in control.columns else F.lit(None)
     config = control.filter(F.col("type") == "config")
     given = config.select("session_id", *order, F.lit(None).cast(asked.schema["turn"].dataType).alias("turn"),
                           F.col("smart_mode").alias("set_mode"),
-                          F.when(F.col("smart_model") != "", F.col("smart_model")).alias("set_model"))
+                          F.when(F.col("smart_model") != "", F.col("smart_model")).alias("set_model"), pause.cast("int").alias("set_pause"))
     known = with_last_known(
         asked.unionByName(given), SESSION, order, time_block("ts", block_seconds),
-        {"smart_mode": "set_mode", "smart_model": "set_model"},
+        {"smart_mode": "set_mode", "smart_model": "set_model", "pause_ms": "set_pause"},
     )
     return known.filter(F.col("turn").isNotNull()).select(
         "session_id", *order, *([f"turn.{c}" for c in rest]),
         F.coalesce("smart_mode", F.lit(DEFAULT_SMART_MODE)).alias("smart_mode"),
         F.coalesce("smart_model", F.lit(DEFAULT_SMART_MODEL)).alias("smart_model"),
+        F.coalesce("pause_ms", F.lit(DEFAULT_PAUSE_MS)).alias("pause_ms"),
     )
 
 
