@@ -20,6 +20,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 CACHE_BYTES = 224 << 20  # about, per worker; the cache starts anew when it is full
 LONGEST_PIECE = 1_024    # longer pieces are encoded with their text and not kept
+SIGN = "\x01"
 TOGETHER = 512           # pieces learned in one call
 
 
@@ -34,6 +35,10 @@ class TextEncoder:
             # The byte-level sign of a space, with which the first token of a piece begins.
             size = self.tokenizer.get_vocab_size()
             self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        else:
+            # A sign that is one token wherever it stands alone; put between pieces, it shows where they end.
+            alone, amid = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (SIGN, f"a {SIGN} b"))
+            self.sign = alone[0] if len(alone) == 1 and amid.count(alone[0]) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -55,10 +60,7 @@ class TextEncoder:
         known = self.pieces.__contains__
         for pieces in split:
             missing.update(itertools.filterfalse(known, pieces))
-        if self.lead:
-            self._learn(missing)
-        else:
-            self._learn_heads(missing)
+        self._learn(missing)
         out, ids_of = [], self.pieces.__getitem__
         for text, head, pieces in zip(texts, heads, split):
             try:
@@ -78,19 +80,30 @@ class TextEncoder:
                 self.heads[piece] = _bytes(got.ids)
 
     def _learn(self, new: set[str]) -> None:
-        """Many pieces at once: each after a space, and cut again where a token begins with the space."""
-        # A space before more white space is part of a run, which is one pre-token.
-        in_run = {p for p in new if not p or p[0].isspace()}
-        self.pieces.update(dict.fromkeys(in_run))
-        alone = self._fit(new - in_run, self.pieces)
+        """Many pieces at once: the ids of a run of pieces are cut where the next piece begins."""
+        if self.lead:
+            # A space before more white space is part of a run, which is one pre-token.
+            apart = {p for p in new if not p or p[0].isspace()}
+            self.pieces.update(dict.fromkeys(apart))
+        else:
+            apart = {p for p in new if self.sign is None or SIGN in p}
+            self._learn_heads(apart)
+        alone, between = self._fit(new - apart, self.pieces), " " if self.lead else f" {SIGN} "
         for start in range(0, len(alone), TOGETHER):
             some = alone[start:start + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(ids) * 4]
-            if len(ends) != len(some) + 1:
-                raise ValueError("the tokenizer doesn't begin a token at each space")
+            run = " " + " ".join(some) if self.lead else between.join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([run], add_special_tokens=False)[0].ids, dtype="<u4")
+            if self.lead:
+                starts = np.flatnonzero(self.begins[ids]) * 4
+                ends = [*starts[1:].tolist(), len(ids) * 4]
+                starts = starts.tolist()
+            else:
+                ends = [*(np.flatnonzero(ids == self.sign) * 4).tolist(), len(ids) * 4]
+                starts = [0, *(e + 4 for e in ends[:-1])]
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer doesn't begin pieces where it was expected to")
             whole = ids.tobytes()
-            self.pieces.update((piece, whole[a:b]) for piece, a, b in zip(some, ends, ends[1:]))
+            self.pieces.update(zip(some, map(whole.__getitem__, map(slice, starts, ends))))
 
     def _fit(self, new: set[str], into: dict[str, bytes | None]) -> list[str]:
         """Those short enough to be kept; about what they take is booked."""

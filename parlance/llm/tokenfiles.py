@@ -62,6 +62,8 @@ class Writer:
         start = MAGIC + struct.pack("<I", len(header)) + header + dictionary
         self.out, self.at, self.entries = out, len(start), []
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)  # once, not with every frame
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         out.write(start)
 

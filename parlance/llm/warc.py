@@ -72,6 +72,8 @@ class ArchiveWriter:
     def __init__(self, out, dictionary: bytes):
         self.out = out
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)  # once, not with every record
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=True)
         if dictionary:
             packed = zstandard.ZstdCompressor(level=19).compress(dictionary)
