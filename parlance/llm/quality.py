@@ -166,8 +166,9 @@ def quality_metrics(text: Column, lang: Column, references: dict[str, Reference]
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(words, n).alias("n_repeat_words"),
             F.when(n >= MIN_WORDS, js_distance(class_counts(t).cast("array<double>"), ref_classes)).alias("char_distance"),
-            F.when((n >= MIN_WORDS) & (F.size(ref_words) > 0), js_distance(
-                word_histogram(words, ref_words).cast("array<double>"), ref_counts)).alias("word_distance"))
+            # The reference is bound once a row; inside the lambdas it would be picked anew for every word.
+            let(ref_words, lambda common: F.when((n >= MIN_WORDS) & (F.size(common) > 0), js_distance(
+                word_histogram(words, common).cast("array<double>"), ref_counts))).alias("word_distance"))
         return let(base, verdict)
 
     def verdict(m: Column) -> Column:
