@@ -5,8 +5,9 @@
 2. Every document gets posteriors p over the domains (the label combinations), so it belongs to several domains softly.
 3. Rates r >= 0 are fitted so that the expected tokens of each domain, sum of r * n * p, match the targets in the least
    squares sense (errors relative to the domain's size). Projected gradient with momentum: each round needs one number per
-   domain from all documents. From r = 1, the rate after t rounds depends on p and the t gradients only, so no state per
-   document is kept: rates are computed where they are needed, and a lost executor costs nothing but its tasks.
+   domain from all documents. From r = 1, the rate after t rounds depends on p and the t gradients only, so documents are
+   first added up by p, no state per document is kept, rates are computed where they are needed, and a lost executor
+   costs nothing but its tasks.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ SHRINK = 25.0             # documents of the whole corpus that each domain's cou
 DOMAIN_SHARE = 0.005      # a label combination with a smaller share of the labelled rows is no domain: at most 200
 STEPS = 20                # of the logistic regression
 PENALTY = 5.0             # on squared weights, in documents
+PRECISION = 0.01          # of posteriors: documents of equal posteriors are one row when rates are fitted
 BYTES_PER_TOKEN = 4
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"      # ASCII but for a-z and 0-9
+SIGNS = r"[#$%&*+/<=>@\[\]^_`{|}~\\]+"
 ROUNDS = 60
-TOLERANCE = 0.002
+TOLERANCE = 0.005
 
 
 @dataclass(frozen=True)
@@ -40,45 +44,55 @@ class Classifier:
     weights: dict[str, list[float]]    # by feature, what it adds to each domain's score
 
     def posteriors(self, text: Column) -> Column:
-        """Probabilities in the order of ``domains``. A text without known features gets the priors."""
-        return softmax(_scores(self.prior, list(self.weights.values()), _places(features(text), list(self.weights))))
+        """Probabilities in the order of ``domains``, rounded to ``PRECISION``. A text without known features gets the priors."""
+        whole = softmax(_scores(self.prior, list(self.weights.values()), _places(features(text), list(self.weights))))
+        return let(F.transform(whole, lambda x: F.floor(x / PRECISION + 0.5).cast("double")), _shares)
+
+
+def _shares(parts: Column) -> Column:
+    return let(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(parts, lambda x: x / total))
 
 
 def softmax(scores: Column) -> Column:
-    def shares(e: Column) -> Column:
-        return let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    return let(scores, lambda s: let(F.array_max(s), lambda top: let(F.transform(s, lambda x: F.exp(x - top)), _shares)))
+
 
-    return let(scores, lambda s: let(F.array_max(s), lambda top: let(F.transform(s, lambda x: F.exp(x - top)), shares)))
+def _numbers(rows: list[list[float]]) -> Column:
+    """A constant array of arrays of doubles, passed as one expression."""
+    return F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in row) + ")" for row in rows) + ")")
 
 
 def _places(own: Column, names: list[str]) -> Column:
     """Positions in ``names`` of the features a document has."""
-    vocabulary = F.array(*[F.lit(x) for x in names]).cast("array<string>")
-    return F.transform(F.array_intersect(own, vocabulary), lambda f: F.array_position(vocabulary, f).cast("int") - 1)
+    vocabulary = F.split(F.lit(" ".join(names)), " ")
+    return let(vocabulary, lambda all: F.transform(F.array_intersect(own, all), lambda f: F.array_position(all, f).cast("int") - 1))
 
 
 def _scores(prior: list[float], weights: list[list[float]], places: Column) -> Column:
-    start = F.array(*[F.lit(float(x)) for x in prior])
+    start = F.get(_numbers([prior]), F.lit(0))
     if not weights:
         return start
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in weights])
-    return F.aggregate(places, start, lambda a, i: F.zip_with(a, F.get(table, i), lambda x, y: x + y))
+    # Bound once a row: inside the lambda the table would be built anew for every feature.
+    return let(_numbers(weights), lambda table: F.aggregate(
+        places, start, lambda a, i: F.zip_with(a, F.get(table, i), lambda x, y: x + y)))
 
 
 def features(text: Column) -> Column:
-    """Distinct words in lower case (runs of letters and digits), and three proportions as words of their own."""
+    """Distinct words in lower case (runs of ASCII letters and digits and of all characters beyond ASCII), and three
+    proportions of the text as words of their own. No feature has a space."""
     def build(t: Column, words: Column) -> Column:
-        distinct = F.array_distinct(words)
         n, size = F.size(words), F.length(t)
-        signs = size - F.length(F.regexp_replace(t, r"[^\p{L}\p{N}\s.,;:!?'\"()-]+", ""))
-        shape = F.array(
-            F.concat(F.lit("~distinct"), F.when(n > 0, F.floor(F.size(distinct) * 10 / n)).otherwise(-1).cast("string")),
-            F.concat(F.lit("~signs"), F.when(size > 0, F.floor(signs * 25 / size)).otherwise(-1).cast("string")),
-            F.concat(F.lit("~length"), F.floor(F.log2(n + F.lit(1.0))).cast("string")))
-        return F.concat(distinct, shape)
+        signs = size - F.length(F.regexp_replace(t, SIGNS, ""))
 
-    return let(F.coalesce(text, F.lit("")), lambda t: let(
-        F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda words: build(t, words)))
+        def shape(distinct: Column) -> Column:
+            return F.concat(distinct, F.array(
+                F.concat(F.lit("~distinct"), F.when(n > 0, F.floor(F.size(distinct) * 10 / n)).otherwise(-1).cast("string")),
+                F.concat(F.lit("~signs"), F.when(size > 0, F.floor(signs * 25 / size)).otherwise(-1).cast("string")),
+                F.concat(F.lit("~length"), F.floor(F.log2(n + F.lit(1.0))).cast("string"))))
+
+        return let(F.array_distinct(words), shape)
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.array_remove(F.split(F.lower(t), BETWEEN_WORDS), ""), lambda words: build(t, words)))
 
 
 def token_count(text: Column) -> Column:
@@ -184,11 +198,14 @@ def rates_after(p: Column, gradients: list[list[float]]) -> Column:
     start = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
     if not gradients:
         return start
-    steps = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in g]).alias("g"), F.lit(momentum(i + 1)).alias("m")) for i, g in enumerate(gradients)])
+    # Each row: the gradient and, last, the momentum that follows it.
+    steps = _numbers([[*g, momentum(i + 1)] for i, g in enumerate(gradients)])
+    k = len(gradients[0])
 
     def step(at: Column, by: Column) -> Column:
-        change = F.aggregate(F.zip_with(p, by["g"], lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-        return let(F.greatest(F.lit(0.0), at["y"] - change), lambda x: F.struct(x.alias("x"), (x + by["m"] * (x - at["x"])).alias("y")))
+        change = sum((F.get(p, F.lit(i)) * F.get(by, F.lit(i)) for i in range(k)), F.lit(0.0))
+        return let(F.greatest(F.lit(0.0), at["y"] - change), lambda x: F.struct(
+            x.alias("x"), (x + F.get(by, F.lit(k)) * (x - at["x"])).alias("y")))
 
     return F.aggregate(steps, start, step)
 
@@ -203,9 +220,10 @@ def fit_rates(scored: DataFrame, classifier: Classifier, weights: dict[str, floa
     gradient no longer moves them (a target that can't be met), or after ``ROUNDS``.
     """
     k = len(classifier.domains)
+    profiles = written(scored.groupBy("p").agg(F.sum("n").alias("n")), "profiles")
 
     def expected(gradients: list[list[float]]) -> tuple[list[float], list[float]]:
-        rows = scored.select("n", "p", rates_after(F.col("p"), gradients).alias("r"))
+        rows = profiles.select("n", "p", rates_after(F.col("p"), gradients).alias("r"))
         row = rows.agg(*[F.sum(F.col(f"r.{at}") * F.col("n") * F.get("p", F.lit(i))) for at in ("x", "y") for i in range(k)]).first()
         both = [float(v or 0.0) for v in row]
         return both[:k], both[k:]
@@ -230,30 +248,43 @@ def fit_rates(scored: DataFrame, classifier: Classifier, weights: dict[str, floa
     return Mix(classifier, targets, totals, gradients, now)
 
 
+def _draw(key: str, text: str) -> Column:
+    """A fixed number in [0, 1) for each key and text."""
+    return F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
+def _scored(docs: DataFrame, classifier: Classifier, key: str, text: str) -> DataFrame:
+    return written(docs.select(
+        F.col(key).alias("key"), token_count(F.col(text)).alias("n"), classifier.posteriors(F.col(text)).alias("p"), _draw(key, text).alias("draw")), "scored")
+
+
 def mix_to_targets(docs: DataFrame, labelled: DataFrame, labels: list[str], weights: dict[str, float], key: str = "doc_id",
                    text: str = "text", keep_whole: str | None = None, budget: float | None = None) -> tuple[DataFrame, Mix]:
-    """``docs`` with ``n_tokens``, ``posteriors``, ``rate`` and ``copies``, and the fit.
+    """``key, n_tokens, posteriors, rate, copies`` for each row of ``docs``, and the fit.
 
-    ``copies`` is the rate rounded up or down by a fixed draw from key and text, so that its mean is the rate. Columns of
-    these names are replaced; other extra columns pass through. A NULL or empty text has no tokens and gets the rate of
-    its posteriors; NULL keys and repeated rows are rows like others; rows of one key and text draw alike. An empty table
-    gives an empty result; without labels there is one domain, ``all``.
+    ``copies`` is the rate rounded up or down by a fixed draw from key and text, so that its mean is the rate. A NULL or
+    empty text has no tokens and gets the rate of its posteriors; NULL keys and repeated rows are rows like others; rows
+    of one key and text draw alike; other columns are ignored. An empty table gives an empty result; without labels
+    there is one domain, ``all``.
     """
     classifier = fit_classifier(docs, labelled, labels, key, text)
-    scored = written(docs.select(token_count(F.col(text)).alias("n"), classifier.posteriors(F.col(text)).alias("p")), "scored")
+    scored = _scored(docs, classifier, key, text)
     mix = fit_rates(scored, classifier, weights, keep_whole, budget)
-    both = let(classifier.posteriors(F.col(text)), lambda p: F.struct(p.alias("p"), mix.rate(p).alias("r")))
-    draw = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    out = docs.withColumn("__mix", both)
-    out = out.withColumns({
-        "n_tokens": token_count(F.col(text)).cast("long"), "posteriors": F.col("__mix.p"), "rate": F.col("__mix.r"),
-        "copies": F.floor(F.col("__mix.r") + draw).cast("int")}).drop("__mix")
-    return out, mix
+    rated = scored.withColumn("rate", mix.rate(F.col("p")))
+    return rated.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_tokens"), F.col("p").alias("posteriors"), "rate",
+                        F.floor(F.col("rate") + F.col("draw")).cast("int").alias("copies")), mix
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, labels: list[str], weights: dict[str, float], key: str = "doc_id",
           text: str = "text", keep_whole: str | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as its ``copies`` say, with the columns of ``docs``."""
-    out, _ = mix_to_targets(docs.select(F.struct("*").alias("__row"), F.col(key).alias(key), F.col(text).alias(text)),
-                            labelled, labels, weights, key, text, keep_whole)
-    return out.filter("copies > 0").select("__row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__i")).select("__row.*")
+    """The rows of ``docs``, each as often as ``mix_to_targets`` has copies of it, with the columns of ``docs``.
+
+    Rates are computed again beside the text, so that texts need not be joined with them.
+    """
+    classifier = fit_classifier(docs, labelled, labels, key, text)
+    mix = fit_rates(_scored(docs, classifier, key, text), classifier, weights, keep_whole)
+    rate = let(classifier.posteriors(F.col(text)), mix.rate)
+    copies = F.floor(rate + _draw(key, text)).cast("int")
+    rows = docs.select(F.struct("*").alias("row"), F.array_repeat(F.lit(0), copies).alias("copies"))
+    # Not explode: Spark would add a filter on the array and with it compute the rates twice.
+    return rows.select("row", F.explode_outer("copies").alias("copy")).filter("copy IS NOT NULL").select("row.*")
