@@ -147,7 +147,7 @@ RESULT = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"
 def _row(key, text: str, following: str) -> tuple[tuple, np.ndarray]:
     """A result row without its last value, and the text's fingerprint."""
     own, changed, new = fingerprints_with_edit(text, following)
-    return (key, len(text), hashlib.sha256(new).hexdigest(), own.tobytes().hex(), changed.tobytes().hex(), likeness(own, changed)), own
+    return (key, len(text), hashlib.sha256(new).digest(), own.tobytes(), changed.tobytes(), likeness(own, changed)), own
 
 
 def edit_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,7 +162,7 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType
-    out_kind = f"key {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out_kind = f"key {kind.simpleString()}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -188,7 +188,7 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
             yield _batch([(last_key, None, None, None, None, None, None, part, first, last)], kind)
 
     def _batch(done: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
-        kinds = [key_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+        kinds = [key_type, pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=[*RESULT, "part", "first", "last"])
 
     by_key = F.col("key").asc_nulls_first()
@@ -198,7 +198,7 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # Numbers of the tasks that had rows: as many as tasks.
     parts = sorted(r["part"] for r in edges.select("part").collect())
     if not parts:
-        return seen.select(*RESULT).withColumnRenamed("key", key)
+        return _readable(seen, key)
     after = spark.createDataFrame(list(zip(parts, [*parts[1:], parts[0]])), "part int, after int")
     following = edges.select(F.col("part").alias("after"), F.col("first").alias("following"))
     open_rows = edges.select("key", "last", "part").join(after, "part").join(following, "after").select("key", "last", "following")
@@ -213,4 +213,10 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 yield _batch(done, column(batch, "key").type).select(RESULT)
 
     closed = open_rows.mapInArrow(finish, out_kind)
-    return seen.filter("last IS NULL").select(*RESULT).union(closed).withColumnRenamed("key", key)
+    return _readable(seen.filter("last IS NULL").select(*RESULT).union(closed), key)
+
+
+def _readable(rows: DataFrame, key: str) -> DataFrame:
+    """Hashes and fingerprints, bytes until here, as lower-case hex."""
+    hexed = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return rows.select(*RESULT).withColumns(hexed).withColumnRenamed("key", key)
