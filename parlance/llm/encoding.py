@@ -21,6 +21,7 @@ from tokenizers import Tokenizer  # noqa: E402
 CACHE_BYTES = 224 << 20  # about, per worker; the cache starts anew when it is full
 LONGEST_PIECE = 1_024    # longer pieces are encoded with their text and not kept
 SIGN = "\x01"
+TAILS = (".", ",")
 TOGETHER = 512           # pieces learned in one call
 
 
@@ -30,7 +31,10 @@ class TextEncoder:
             text = f.read()
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.lead = _cuts(json.loads(text))
+        config = json.loads(text)
+        self.cut, self.lead = _cuts(config)
+        # A tokenizer that lower-cases texts meets fewer pieces if ASCII texts come in lower case.
+        self.lower = any(s.get("type") == "Lowercase" for s in (config.get("normalizer") or {}).get("normalizers", []))
         if self.lead:
             # The byte-level sign of a space, with which the first token of a piece begins.
             size = self.tokenizer.get_vocab_size()
@@ -53,14 +57,14 @@ class TextEncoder:
             return [self._whole(t) for t in texts]
         if self.room < 0:
             self._forget()
-        split = [t.split(" ") for t in texts]
+        split = [(t.lower() if self.lower and t.isascii() else t).split(" ") for t in texts]
         heads = [p.pop(0) for p in split]
         self._learn_heads(set(heads).difference(self.heads))
         missing: set[str] = set()
         known = self.pieces.__contains__
         for pieces in split:
             missing.update(itertools.filterfalse(known, pieces))
-        self._learn(missing)
+        self._learn_tails({p for p in missing if p[-1:] in TAILS and p[-2:-1].isalpha()}, missing)
         out, ids_of = [], self.pieces.__getitem__
         for text, head, pieces in zip(texts, heads, split):
             try:
@@ -79,6 +83,17 @@ class TextEncoder:
             for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.heads[piece] = _bytes(got.ids)
 
+    def _learn_tails(self, tails: set[str], new: set[str]) -> None:
+        """Letters and a sign at the end are pre-tokens of their own: such a piece is its beginning and the sign."""
+        known = self.pieces
+        self._learn((new - tails).union(t[:-1] for t in tails if t[:-1] not in known))
+        self._learn_heads(set(TAILS).difference(self.heads))
+        signs = {t: self.heads[t] for t in TAILS}
+        for tail in tails:
+            start = known[tail[:-1]]
+            known[tail] = None if start is None else start + signs[tail[-1]]
+        self.room -= 190 * len(tails)
+
     def _learn(self, new: set[str]) -> None:
         """Many pieces at once: the ids of a run of pieces are cut where the next piece begins."""
         if self.lead:
