@@ -12,14 +12,16 @@ is hot. What is left (the near copies, a few percent) is counted in full and thi
 of their prefixes. Within the group of a gram only one document, its leader, is compared with the others (the leader comes
 first in one fixed order, the most central documents first). For two members x and y that are not both linked with
 leader o (then they are in one component already), what they share inside o is at most |x & o| for an unlinked x. So
-either they share a gram outside o - they meet again in the much smaller group (o, gram) - or y is smaller than o and x
-nearly linked - they meet in the group (o, rest). Groups within one component are done. As soon as the pairs left across
+either they share a gram outside o - they meet again in the much smaller group (o, gram) - or y is smaller than o, and both
+share at least 75 % of their grams with o - they meet in the group (o, rest). Groups within one component are done. Groups are cut by size, and members that have
+too few grams in common with anyone to link with any size in the group leave it. As soon as the pairs left across
 components are few (``PAIRS_PER_ROW`` times the candidate rows, so linear in the input) they are compared directly;
 until then groups get new leaders, later in the order each time, so this ends. No link between components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,7 @@ from parlance.llm.words import shingle_set
 SAMPLE_DOCS = 2_048     # documents whose grams are looked at for common ones
 COMMON_IN_SAMPLE = 4    # distinct sets of the sample that make a gram common
 HOT_CLASSES = 1_000     # a class with more than 1 / this of all rows is entered by one row only
-PAIRS_PER_ROW = 4
+PAIRS_PER_ROW = 32
 
 
 @dataclass(frozen=True)
@@ -202,7 +204,10 @@ def _links(sets: DataFrame, plan: Plan) -> DataFrame:
     spark = sets.sparkSession
     ordered = written(_ordered_grams(sets, plan), "ordered")
     segments = written(_segments(ordered, plan), "segments")
-    sizes = ordered.select("cid", "n", "central")
+    # ``most``: the largest set a set can link with, given how many of its grams (``c``) any other set has.
+    c = F.size("grams").cast("long")
+    most = F.floor(c * (100 + plan.percent) / plan.percent) - F.col("n")
+    sizes = written(ordered.select("cid", "n", "central", most.alias("most")), "sizes")
     length = F.greatest(F.lit(0), F.size("grams") - plan.needed("n") + 1).cast("int")
     prefixes = ordered.select("cid", F.explode(F.slice("grams", F.lit(1), length)).alias("g"))
     groups = written(prefixes.select(F.col("g.h").alias("s"), F.lit(None).cast("long").alias("of"), F.col("cid").alias("x")), "groups")
@@ -210,27 +215,36 @@ def _links(sets: DataFrame, plan: Plan) -> DataFrame:
     labels = None
     while True:
         # A group: members that may have links among them that aren't known; `of` is the leader it comes from.
+        named = _possible(groups, sizes, plan)
         if labels is None:
-            named = groups.withColumn("label", F.col("x"))
+            named = named.withColumn("label", F.col("x"))
         else:
-            named = groups.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-        kept = named.groupBy(F.col("of").alias("g_of"), F.col("s").alias("g_s")).agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"),
-            *[F.expr(f"bit_xor(xxhash64(x, {i}))").alias(f"members{i}") for i in (1, 2)])
+            named = named.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+        # Members are counted by component first: only pairs across components are of interest.
+        parts = named.groupBy(F.col("of").alias("g_of"), F.col("s").alias("g_s"), "label").agg(
+            F.count("*").alias("n"), *[F.expr(f"bit_xor(xxhash64(x, {i}))").alias(f"m{i}") for i in (1, 2)])
+        kept = parts.groupBy("g_of", "g_s").agg(
+            F.count("*").alias("labels"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"),
+            *[F.expr(f"bit_xor(m{i})").alias(f"members{i}") for i in (1, 2)])
         # Near copies share many grams, so many groups have the same members: one of them is enough.
-        kept = kept.filter("low <> high").dropDuplicates(["size", "members1", "members2"]).select("g_of", "g_s", "size")
+        kept = kept.filter("labels > 1").dropDuplicates(["size", "members1", "members2"]).select(
+            "g_of", "g_s", "size", (F.col("size") * F.col("size") - F.col("within")).alias("across"))
         same = F.col("of").eqNullSafe(F.col("g_of")) & F.col("s").eqNullSafe(F.col("g_s"))
         live = written(named.join(kept, same).drop("g_of", "g_s"), "live")
-        left, pairs = live.agg(F.count("*"), F.sum(F.col("size") - 1)).first()
+        # Ordered pairs across components; each group is counted once, by its share of every member row.
+        left, pairs = live.agg(F.count("*"), F.sum(F.col("across") / F.col("size"))).first()
         if not left:
             return found
         if labels is not None and pairs <= 2 * PAIRS_PER_ROW * rows:
             one, two = live.alias("p"), live.alias("q")
+            # Sets of too different sizes can't link, nor those with too few grams that others have.
+            alike = 100 * F.least("p.n", "q.n") >= plan.percent * F.greatest("p.n", "q.n")
+            alike &= (F.col("p.n") <= F.col("q.most")) & (F.col("q.n") <= F.col("p.most"))
             met = F.col("p.of").eqNullSafe(F.col("q.of")) & F.col("p.s").eqNullSafe(F.col("q.s")) & (F.col("p.label") < F.col("q.label"))
-            across = one.join(two, met).select(F.least("p.x", "q.x").alias("o"), F.greatest("p.x", "q.x").alias("x")).distinct()
+            across = one.join(two, met & alike).select(F.least("p.x", "q.x").alias("o"), F.greatest("p.x", "q.x").alias("x")).distinct()
             last = _linked(_compare(across, segments, extra=False), sizes, plan).filter("linked")
             return found.union(last.select(F.col("o").alias("a"), F.col("x").alias("b")))
-        members = live.drop("size").join(sizes.select(F.col("cid").alias("x"), "central"), "x")
+        members = live.select("of", "s", "x").join(sizes.select(F.col("cid").alias("x"), "central"), "x")
         leader = members.groupBy("of", "s").agg(F.min(F.struct(-F.col("central"), F.col("x"))).alias("first"))
         leader = leader.select(F.col("of").alias("g_of"), F.col("s").alias("g_s"), F.col("first.x").alias("o"))
         stars = written(members.join(leader, same).filter("x <> o").select("o", "x").distinct(), "stars")
@@ -241,14 +255,26 @@ def _links(sets: DataFrame, plan: Plan) -> DataFrame:
         groups = written(_next_groups(result, compared, plan), "groups")
 
 
+def _possible(groups: DataFrame, sizes: DataFrame, plan: Plan) -> DataFrame:
+    """Groups cut by size, so that sets whose sizes allow a link meet in one at least, without the members that can't link
+    with any size in it."""
+    step = max(math.log(100 / plan.percent), 1e-6) * (1 + 1e-9)  # sizes that allow a link are at most one step apart
+    sized = groups.join(sizes.select(F.col("cid").alias("x"), "n", "most"), "x")
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
+    cut = sized.withColumn("b", F.explode(F.array(bucket, bucket + 1))).withColumn("s", F.xxhash64(F.coalesce("s", F.lit(-1)), F.col("s").isNull(), "b")).drop("b")
+    least = cut.groupBy(F.col("of").alias("l_of"), F.col("s").alias("l_s")).agg(F.min("n").alias("least"))
+    same = F.col("of").eqNullSafe(F.col("l_of")) & (F.col("s") == F.col("l_s"))
+    return cut.join(least, same).filter("most >= least").drop("l_of", "l_s", "least")
+
+
 def _next_groups(result: DataFrame, compared: DataFrame, plan: Plan) -> DataFrame:
     """Members of a leader's star that share a gram outside the leader, and those the leader's own grams can't rule out."""
     outside = compared.select(F.explode("extra").alias("s"), F.col("o").alias("of"), "x")
-    small = result.filter("nx < no")
-    least = small.groupBy("o").agg(F.min("nx").alias("smallest"))
-    close = (100 + plan.percent) * F.col("shared") >= plan.percent * (F.col("nx") + F.col("smallest"))
-    near = result.join(least, "o").filter(~F.col("linked") & close).select("o", "x")
-    rest = near.union(small.join(near.select("o").distinct(), "o", "left_semi").select("o", "x")).distinct()
+    # Sets that link share ``percent`` of either; what they share inside the leader can be that much only if each shares so
+    # much with the leader itself.
+    close = result.filter(100 * F.col("shared") >= plan.percent * F.col("nx"))
+    near, small = close.filter(~F.col("linked")).select("o", "x"), close.filter("nx < no").select("o", "x")
+    rest = near.union(small.join(near.select("o").distinct(), "o", "left_semi")).distinct()
     return outside.union(rest.select(F.lit(None).cast("long"), "o", "x"))
 
 
