@@ -129,7 +129,7 @@ def mean_frame_energy(df: DataFrame, win: int = audio.ACTIVITY_FRAME, hop: int =
     return _frame_energy(_bins(df, win, hop, {"sq": F.col("amp") * F.col("amp")}), win, hop)
 
 
-def _with_crossings(df: DataFrame, per_block: int) -> DataFrame:
+def _with_crossings(df: DataFrame, per_block: int = SAMPLES_PER_BLOCK) -> DataFrame:
     prev = with_previous(df, KEY, ["idx"], sequence_block("idx", per_block), {"__prev": "amp"})
     return prev.withColumn("crossing", audio.crosses_zero(F.col("__prev"), F.col("amp")).cast("long")).drop("__prev")
 
