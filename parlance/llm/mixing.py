@@ -22,9 +22,8 @@ from parlance.llm.base import let, written
 
 MAX_LABELLED = 20_000     # labelled rows the classifier is fitted on (those of smallest id hash)
 MAX_FEATURES = 1_024      # features of the classifier (those that tell the domains apart best)
-MIN_DOCS = 5              # fitted documents a feature is found in, at least, and
-MIN_SHARE = 0.01          # the least share of them
-MIN_GAIN = 20.0           # least information of a feature about the domains: sum of n * log(n / expected n)
+MIN_DOCS = 5              # fitted documents a feature is found in, at least, whatever their share
+MIN_GAIN = 8.0            # least information of a feature about the domains: sum of n * log(n / expected n)
 SHRINK = 25.0             # documents of the whole corpus that each domain's counts are mixed with
 DOMAIN_SHARE = 0.005      # a label combination with a smaller share of the labelled rows is no domain: at most 200
 STEPS = 20                # of the logistic regression
@@ -135,7 +134,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, labels: list[str], key:
         return F.when(own > 0, own * F.log(own / (F.col("n") * share))).otherwise(0.0)
 
     gains = sum((gain(i, s / all_docs) for i, s in enumerate(sizes) if s), F.lit(0.0))
-    found = found.withColumn("n", n).filter(F.col("n") >= max(MIN_DOCS, MIN_SHARE * all_docs)).withColumn("gain", gains)
+    found = found.withColumn("n", n).filter(F.col("n") >= MIN_DOCS).withColumn("gain", gains)
     best = found.filter(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "feature").limit(MAX_FEATURES).collect()
     weights = {}
     for r in best:

@@ -34,6 +34,25 @@ def test_held_out_accuracy(spark):
     assert all(abs(sum(r.p) - 1) < 1e-9 for r in scored)
 
 
+def test_toxic_rows_of_every_language_on_held_out_labels(spark):
+    rng, rows = random.Random(4), []
+    for i in range(3_000):
+        lang = rng.choices(["en", "de", "es"], [0.9, 0.06, 0.04])[0]
+        toxic = int(rng.random() < 0.25)
+        words = [f"{lang}{rng.randrange(500)}" for _ in range(60)]
+        words += [f"{lang}bad{rng.randrange(4)}" for _ in range(5 * toxic)]
+        rng.shuffle(words)
+        rows.append((i, lang, " ".join(words), 1, toxic))
+    rows = spark.createDataFrame(rows, "doc_id long, lang string, text string, quality int, toxic int").cache()
+    model = mixing.fit_classifier(rows.select("doc_id", "text"), rows.filter("doc_id < 2000").select("doc_id", *LABELS), LABELS)
+    at = model.domains.index("quality=1,toxic=1")
+    held = rows.filter("doc_id >= 2000").select("lang", "toxic", F.get(model.posteriors(F.col("text")), F.lit(at)).alias("p"))
+    shares = {(r.lang, r.toxic): r.share for r in held.groupBy("lang", "toxic").agg(F.avg((F.col("p") > 0.5).cast("int")).alias("share")).collect()}
+    for lang in ("en", "de", "es"):
+        assert shares[lang, 1] > 0.9, shares
+        assert shares[lang, 0] < 0.05, shares
+
+
 def plain_rates(p, gradients):
     x = y = 1.0
     for t, g in enumerate(gradients):
