@@ -13,7 +13,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,9 @@ MAX_FEATURES = 1_024      # features of the classifier (those that tell the doma
 MIN_DOCS = 5              # fitted documents a feature is found in, at least, whatever their share
 MIN_GAIN = 8.0            # least information of a feature about the domains: sum of n * log(n / expected n)
 SHRINK = 25.0             # documents of the whole corpus that each domain's counts are mixed with
-DOMAIN_SHARE = 0.005      # a label combination with a smaller share of the labelled rows is no domain: at most 200
+MAX_DOMAINS = 200         # label combinations that are domains beside the named ones; all others are one, REST
+REST = "rest"
+LEAST_LABELLED = 1_000    # a named domain with fewer rows in the sample is fitted on so many of its own, or all it has
 STEPS = 20                # of the logistic regression
 PENALTY = 5.0             # on squared weights, in documents
 PRECISION = 0.01          # of posteriors: documents of equal posteriors are one row when rates are fitted
@@ -104,21 +108,40 @@ def domain_of(labels: list[str]) -> Column:
     return F.concat(*[x for i, c in enumerate(labels) for x in (F.lit("," * (i > 0) + c + "="), F.col(c).cast("string"))])
 
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, labels: list[str], key: str = "doc_id", text: str = "text") -> Classifier:
-    """Fit on at most ``MAX_LABELLED`` labelled rows; rows whose text is not in ``docs`` don't count."""
+def fit_classifier(docs: DataFrame, labelled: DataFrame, labels: list[str], key: str = "doc_id", text: str = "text",
+                   named: Iterable[str] = ()) -> Classifier:
+    """Fit on at most ``MAX_LABELLED`` labelled rows and ``LEAST_LABELLED`` more for each ``named`` domain that is rare;
+    rows whose text is not in ``docs`` don't count.
+
+    Domains are the named label combinations that have labelled rows, however few, and the most frequent
+    ``MAX_DOMAINS`` others. Rows of any other combination make up the domain ``REST``. Domains that are rare among the
+    labelled rows have more than their share of the fitted ones; the priors make up for that.
+    """
     sample = labelled.select(F.col(key).alias("id"), domain_of(labels).alias("domain")).dropna()
-    sample = sample.orderBy(F.xxhash64("id"), "domain").limit(MAX_LABELLED)
-    counts = sorted(((r["domain"], r["n"]) for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()))
-    total = sum(n for _, n in counts)
-    counts = [(d, n) for d, n in counts if n >= total * DOMAIN_SHARE]
-    if not counts:
+    all_counts = sample.groupBy("domain").agg(F.count("*").alias("n"))
+    named = list(named)
+    chosen = all_counts.filter(F.col("domain").isin(named)).collect() if named else []
+    chosen += all_counts.filter(~F.col("domain").isin(named)).orderBy(F.desc("n"), "domain").limit(MAX_DOMAINS).collect()
+    if not chosen:
         return Classifier(["all"], [0.0], {})
+    total = sample.count()
+    own_counts = {r["domain"]: r["n"] for r in chosen}
+    rest = total - sum(own_counts.values())
+    rate = min(1.0, MAX_LABELLED / total)
+    rare = [d for d in named if d in own_counts and rate < 1 and own_counts[d] * rate < LEAST_LABELLED]
+    parts = [sample.filter(~F.col("domain").isin(rare)).orderBy(F.xxhash64("id"), "domain").limit(MAX_LABELLED)]
+    parts += [sample.filter(F.col("domain") == d).orderBy(F.xxhash64("id")).limit(LEAST_LABELLED) for d in rare]
+    sample = reduce(DataFrame.unionAll, parts)
+    sample = sample.withColumn("domain", F.when(F.col("domain").isin(list(own_counts)), F.col("domain")).otherwise(REST))
+    counts = sorted([*own_counts.items(), *([(REST, rest)] if rest else [])])
     domains = [d for d, _ in counts]
-    prior = [math.log(n / sum(n for _, n in counts)) for _, n in counts]
+    prior = [math.log(n / total) for _, n in counts]
+    # How much more often than the others the rows of a rare domain are in the sample.
+    usual = min(1.0, MAX_LABELLED / max(1, total - sum(own_counts[d] for d in rare)))
+    extra = [math.log(min(1.0, LEAST_LABELLED / n) / usual) if d in rare else 0.0 for d, n in counts]
     # The sample has a fixed greatest size, so it may be broadcast whatever the table.
     known = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
-    known = known.filter(F.col("domain").isin(domains)).select(
-        "domain", features(F.col("text")).alias("features"), F.xxhash64("text").alias("hash"))
+    known = known.select("domain", features(F.col("text")).alias("features"), F.xxhash64("text").alias("hash"))
     # Copies would teach the same words again: one row per text and domain.
     fitted = written(known.dropDuplicates(["hash", "domain"]), "labelled")
     n_of = {r["domain"]: r["n"] for r in fitted.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -144,8 +167,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, labels: list[str], key:
         return Classifier(domains, prior, {})
     right = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
     rows = written(fitted.select(right.alias("k"), _places(F.col("features"), list(weights)).alias("at")), "features")
-    prior, refined = _regress(rows, prior, list(weights.values()), {i: r["n"] for i, r in enumerate(best)})
-    return Classifier(domains, prior, dict(zip(weights, refined)))
+    prior, refined = _regress(rows, [a + b for a, b in zip(prior, extra)], list(weights.values()), {i: r["n"] for i, r in enumerate(best)})
+    return Classifier(domains, [a - b for a, b in zip(prior, extra)], dict(zip(weights, refined)))
 
 
 def _regress(rows: DataFrame, prior: list[float], start: list[list[float]], counts: dict[int, int]) -> tuple[list[float], list[list[float]]]:
@@ -266,7 +289,7 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, labels: list[str], weig
     of one key and text draw alike; other columns are ignored. An empty table gives an empty result; without labels
     there is one domain, ``all``.
     """
-    classifier = fit_classifier(docs, labelled, labels, key, text)
+    classifier = fit_classifier(docs, labelled, labels, key, text, weights)
     scored = _scored(docs, classifier, key, text)
     mix = fit_rates(scored, classifier, weights, keep_whole, budget)
     rated = scored.withColumn("rate", mix.rate(F.col("p")))
@@ -280,7 +303,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, labels: list[str], weights: dict
 
     Rates are computed again beside the text, so that texts need not be joined with them.
     """
-    classifier = fit_classifier(docs, labelled, labels, key, text)
+    classifier = fit_classifier(docs, labelled, labels, key, text, weights)
     mix = fit_rates(_scored(docs, classifier, key, text), classifier, weights, keep_whole)
     rate = let(classifier.posteriors(F.col(text)), mix.rate)
     copies = F.floor(rate + _draw(key, text)).cast("int")

@@ -53,6 +53,24 @@ def test_toxic_rows_of_every_language_on_held_out_labels(spark):
         assert shares[lang, 0] < 0.05, shares
 
 
+def test_rare_domains_are_kept_or_rest(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(30)) + " vile nasty rotten awful" * (i < 16) for i in range(4_000)]
+    rows = spark.createDataFrame([(i, t, 1, int(i < 16)) for i, t in enumerate(texts)], "doc_id long, text string, quality int, toxic int").cache()
+    docs, named = rows.select("doc_id", "text"), "quality=1,toxic=1"
+    monkeypatch.setattr(mixing, "MAX_LABELLED", 1_500)  # the sample of this size has only a few of the 16
+    out, mix = mixing.mix_to_targets(docs, rows.select("doc_id", *LABELS), LABELS, {"quality=1,toxic=0": 0.9999, named: 0.0001})
+    at = mix.classifier.domains.index(named)
+    found = out.join(rows.select("doc_id", "toxic"), "doc_id").groupBy("toxic").agg(F.avg(F.get("posteriors", F.lit(at))).alias("p"))
+    p = {r.toxic: r.p for r in found.collect()}
+    assert p[1] > 0.5 and p[0] < 0.01
+    monkeypatch.setattr(mixing, "MAX_DOMAINS", 1)
+    labels = rows.select("doc_id", "quality", F.pmod("doc_id", F.lit(3)).alias("toxic"))
+    model = mixing.fit_classifier(docs, labels, LABELS)
+    assert model.domains == ["quality=1,toxic=0", mixing.REST]
+    assert mixing.fit_classifier(docs, labels, LABELS, named=["quality=1,toxic=2"]).domains == ["quality=1,toxic=0", "quality=1,toxic=2", mixing.REST]
+
+
 def plain_rates(p, gradients):
     x = y = 1.0
     for t, g in enumerate(gradients):
