@@ -5,9 +5,10 @@
 2. Every document gets posteriors p over the domains (the label combinations), so it belongs to several domains softly.
 3. Rates r >= 0 are fitted so that the expected tokens of each domain, sum of r * n * p, match the targets in the least
    squares sense (errors relative to the domain's size). Projected gradient with momentum: each round needs one number per
-   domain from all documents. From r = 1, the rate after t rounds depends on p and the t gradients only, so documents are
-   first added up by p, no state per document is kept, rates are computed where they are needed, and a lost executor
-   costs nothing but its tasks.
+   domain from all documents. From r = 1, the rate after t rounds depends on p and the t gradients only, so no state per
+   document is kept, rates are computed where they are needed, and a lost executor costs nothing but its tasks. The first
+   rounds run on documents added up by nearly equal p; then the totals are taken from all documents, and rounds go on
+   there if a target is missed.
 """
 
 from __future__ import annotations
@@ -32,12 +33,13 @@ REST = "rest"
 LEAST_LABELLED = 1_000    # a named domain with fewer rows in the sample is fitted on so many of its own, or all it has
 STEPS = 20                # of the logistic regression
 PENALTY = 5.0             # on squared weights, in documents
-PRECISION = 0.01          # of posteriors: documents of equal posteriors are one row when rates are fitted
+PRECISION = 0.01          # of posteriors in profiles: documents of nearly equal posteriors are one row in the first rounds
 BYTES_PER_TOKEN = 4
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"      # ASCII but for a-z and 0-9
 SIGNS = r"[#$%&*+/<=>@\[\]^_`{|}~\\]+"
 ROUNDS = 60
-TOLERANCE = 0.005
+TOLERANCE = 0.002         # of all tokens, for each domain, and
+NEAR_TARGET = 0.02        # of a domain's own target, if it has one
 
 
 @dataclass(frozen=True)
@@ -47,9 +49,8 @@ class Classifier:
     weights: dict[str, list[float]]    # by feature, what it adds to each domain's score
 
     def posteriors(self, text: Column) -> Column:
-        """Probabilities in the order of ``domains``, rounded to ``PRECISION``. A text without known features gets the priors."""
-        whole = softmax(_scores(self.prior, list(self.weights.values()), _places(features(text), list(self.weights))))
-        return let(F.transform(whole, lambda x: F.floor(x / PRECISION + 0.5).cast("double")), _shares)
+        """Probabilities in the order of ``domains``. A text without known features gets the priors."""
+        return softmax(_scores(self.prior, list(self.weights.values()), _places(features(text), list(self.weights))))
 
 
 def _shares(parts: Column) -> Column:
@@ -238,19 +239,23 @@ def fit_rates(scored: DataFrame, classifier: Classifier, weights: dict[str, floa
 
     Without a budget it is the tokens there are or, with ``keep_whole``, what leaves that domain as it is. Domains
     without a weight have target 0. With steps of 1 / (tokens of the domain) the curvature is at most 1, so the unit
-    step always converges. Rounds end when all targets are met within ``TOLERANCE`` of all tokens, when the
-    gradient no longer moves them (a target that can't be met), or after ``ROUNDS``.
+    step always converges. Rounds end when all targets are met on the documents themselves within ``TOLERANCE`` of all
+    tokens and ``NEAR_TARGET`` of the target, when the gradient no longer moves them (a target that can't be met), or
+    after ``ROUNDS``. ``reached`` always comes from the documents.
     """
     k = len(classifier.domains)
-    profiles = written(scored.groupBy("p").agg(F.sum("n").alias("n")), "profiles")
-
-    def expected(gradients: list[list[float]]) -> tuple[list[float], list[float]]:
-        rows = profiles.select("n", "p", rates_after(F.col("p"), gradients).alias("r"))
-        row = rows.agg(*[F.sum(F.col(f"r.{at}") * F.col("n") * F.get("p", F.lit(i))) for at in ("x", "y") for i in range(k)]).first()
+    exact = scored.filter("n > 0").select("p", F.transform("p", lambda x: x * F.col("n")).alias("np"))
+    binned = exact.groupBy(F.transform("p", lambda x: F.floor(x / PRECISION + 0.5)).alias("bin"))
+    sums = binned.agg(F.array(*[F.sum(F.get("np", F.lit(i))) for i in range(k)]).alias("np"))
+    profiles = written(sums.select(_shares(F.col("np")).alias("p"), "np"), "profiles")
+
+    def expected(rows: DataFrame, gradients: list[list[float]]) -> tuple[list[float], list[float]]:
+        rows = rows.select("np", rates_after(F.col("p"), gradients).alias("r"))
+        row = rows.agg(*[F.sum(F.col(f"r.{at}") * F.get("np", F.lit(i))) for at in ("x", "y") for i in range(k)]).first()
         both = [float(v or 0.0) for v in row]
         return both[:k], both[k:]
 
-    totals, _ = expected([])
+    totals, _ = expected(profiles, [])
     shares = [max(0.0, float(weights.get(d, 0.0))) for d in classifier.domains]
     shares = [s / (sum(shares) or 1.0) for s in shares]
     at = classifier.domains.index(keep_whole) if keep_whole in classifier.domains else None
@@ -258,15 +263,18 @@ def fit_rates(scored: DataFrame, classifier: Classifier, weights: dict[str, floa
         budget = totals[at] / shares[at] if at is not None and shares[at] else sum(totals)
     targets = [s * budget for s in shares]
     scale = sum(totals)
-    now, ahead, gradients = totals, totals, []
-    while scale and len(gradients) < ROUNDS:
-        if max(abs(a - b) for a, b in zip(now, targets)) <= TOLERANCE * scale:
-            break
-        gradients.append([(a - b) / t if t > 0 else 0.0 for a, b, t in zip(ahead, targets, totals)])
-        before = now
-        now, ahead = expected(gradients)
-        if max(abs(a - b) for a, b in zip(before, now)) <= 1e-5 * scale:
-            break
+    allowed = [min(TOLERANCE * scale, NEAR_TARGET * t) if t > 0 else TOLERANCE * scale for t in targets]
+    gradients, now = [], totals
+    for rows in (profiles, exact):
+        now, ahead = expected(rows, gradients)
+        while scale and len(gradients) < ROUNDS:
+            if all(abs(a - b) <= c for a, b, c in zip(now, targets, allowed)):
+                break
+            gradients.append([(a - b) / t if t > 0 else 0.0 for a, b, t in zip(ahead, targets, totals)])
+            before = now
+            now, ahead = expected(rows, gradients)
+            if all(abs(a - b) <= 0.005 * c for a, b, c in zip(before, now, allowed)):
+                break
     return Mix(classifier, targets, totals, gradients, now)
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -96,6 +97,28 @@ def test_targets_are_met_and_rates_follow_the_gradients(spark):
     assert abs(copied - sum(mix.reached)) < 0.1 * total
 
 
+def test_small_targets_are_met_on_unrounded_posteriors(spark):
+    classifier = mixing.Classifier(["a", "b", "c"], [0.0] * 3, {})
+    rng, rows = random.Random(6), []
+    for _ in range(3_000):
+        c = rng.choice([0.004, 0.0049, 0.3 * rng.random()])
+        rows.append((float(rng.randrange(1, 500)), [0.9 - 0.9 * c, 0.1 - 0.1 * c, c]))
+        rows.append((float(rng.randrange(1, 500)), [0.2 - 0.2 * c, 0.8 - 0.8 * c, c]))
+    mix = mixing.fit_rates(spark.createDataFrame(rows, "n double, p array<double>"), classifier, {"a": 0.8, "b": 0.18, "c": 0.02})
+    totals, reached = [0.0] * 3, [0.0] * 3
+    for n, p in rows:
+        rate = plain_rates(p, mix.gradients)
+        for i in range(3):
+            totals[i] += n * p[i]
+            reached[i] += rate * n * p[i]
+    for i in range(3):
+        assert abs(mix.totals[i] / totals[i] - 1) < 1e-9
+        assert abs(mix.reached[i] / reached[i] - 1) < 1e-9
+        assert abs(reached[i] / mix.targets[i] - 1) < 0.03
+    model = mixing.Classifier(["a", "b"], [math.log(0.9973), math.log(0.0027)], {})
+    assert abs(spark.range(1).select(model.posteriors(F.lit("x"))).first()[0][1] - 0.0027) < 1e-9
+
+
 def test_whole_domain_stays_and_pipeline_form_copies_rows(spark):
     rows = corpus(spark, 800).withColumn("rate", F.lit("mine"))
     weights = {"quality=1,toxic=0": 0.9, "quality=0,toxic=0": 0.1}
