@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.base import NO_SPACE, SPACE, let
+from parlance.llm.base import NO_SPACE, SPACE, let, written
 
 # Character classes, in this order; what none of them matches (letters and signs outside ASCII) is the last class.
 CLASSES = ["[a-z]+", f"{SPACE}+", "[A-Z]+", "[0-9]+", r"""[.,;:!?'"()-]+""", r"[\x21-\x7E]+"]
@@ -25,7 +25,7 @@ CHAR_LIMIT = (0.25, 0.7)    # limit = first + second / sqrt(words)
 WORD_LIMIT = (0.23, 0.8)
 COMMON_WORDS = 32           # words of a language's histogram, at most
 COMMON_SHARE = 0.005        # a common word makes up this share of its language's words, at least
-LANGUAGE_SHARE = 1 / 64     # a language with a smaller share of all words gets no reference: at most 64 references
+LANGUAGE_WORDS = 2_000      # a language with fewer words of its own gets no reference, whatever the other languages have
 BUCKETS = 65_536
 
 
@@ -105,57 +105,45 @@ def word_histogram(words: Column, common: Column) -> Column:
         F.transform(common, lambda c: F.size(F.filter(k, lambda w: w == c))), F.array(F.size(words) - F.size(k))))
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Reference]:
-    """References from all documents: sums per language, no sampling.
+def reference_table(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """References from all documents: ``lang, classes, words, counts``, sums per language, no sampling.
 
     Common words are found exactly without counting every word: words are first counted by hash bucket (65,536 a
     language, added up before the shuffle); only words of buckets that reach ``COMMON_SHARE`` are then counted one by
-    one. At most 1 / share buckets of a language can reach it, and at most 64 languages are kept, so what comes to the
-    driver is bounded whatever the input. Documents without a language take no part.
+    one. At most 1 / share words of a language can reach it, so a row is bounded; the number of languages is not, and
+    nothing comes to the driver. Documents without a language take no part.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL")
     words = rows.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
     words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
-    buckets = words.groupBy("lang", "bucket").agg(F.count("*").alias("n"))
-    totals = buckets.groupBy("lang").agg(F.sum("n").alias("total"))
-    whole = totals.agg(F.sum("total").alias("whole"))
-    large = totals.crossJoin(F.broadcast(whole)).filter(F.col("total") >= F.col("whole") * LANGUAGE_SHARE).select("lang", "total")
-    heavy = buckets.join(large, "lang").filter(F.col("n") >= F.col("total") * COMMON_SHARE).select("lang", "bucket", "total").collect()
-    if not heavy:
-        return {}
-    total = {r["lang"]: r["total"] for r in heavy}
-    # At most 64 languages x 200 buckets: the side has a proven bound.
-    chosen = docs.sparkSession.createDataFrame([(r["lang"], r["bucket"]) for r in heavy], "lang string, bucket int")
-    counts = words.join(F.broadcast(chosen), ["lang", "bucket"]).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    least = F.element_at(F.create_map(*[x for k, v in total.items() for x in (F.lit(k), F.lit(v * COMMON_SHARE))]), F.col("lang"))
-    common: dict[str, list] = {}
-    for r in counts.filter((F.col("n") >= least) & F.col("word").rlike(r"\p{L}")).collect():
-        common.setdefault(r["lang"], []).append((-r["n"], r["word"]))
-    sums = rows.filter(F.col("lang").isin(list(total))).select("lang", class_counts(F.col("text")).alias("c"))
-    classes = sums.groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(CLASSES) + 1)]).alias("c"))
-    out = {}
-    for r in classes.collect():
-        best = sorted(common.get(r["lang"], []))[:COMMON_WORDS]
-        counts_of = [-n for n, _ in best]
-        out[r["lang"]] = Reference(list(r["c"]), [w for _, w in best], [*counts_of, total[r["lang"]] - sum(counts_of)])
-    return out
-
-
-def quality_metrics(text: Column, lang: Column, references: dict[str, Reference]) -> Column:
-    """One struct per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
-    word_distance, kept. Distances are NULL below the guard or without a reference, and then don't decide."""
-    def pick(values: dict[str, Column], kind: str) -> Column:
-        out = F.lit(None).cast(kind)
-        for name, value in values.items():
-            out = F.when(lang == name, value).otherwise(out)
-        return out
+    buckets = written(words.groupBy("lang", "bucket").agg(F.count("*").alias("n")), "buckets")
+    totals = buckets.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= LANGUAGE_WORDS)
+    # Tables that Spark wrote, so Spark itself checks whether they are small enough to broadcast.
+    heavy = written(buckets.join(totals, "lang").filter(F.col("n") >= F.col("total") * COMMON_SHARE).select("lang", "bucket", "total"), "heavy")
+    counts = words.join(heavy, ["lang", "bucket"]).groupBy("lang", "word").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    common = counts.filter((F.col("n") >= F.col("total") * COMMON_SHARE) & F.col("word").rlike(r"\p{L}"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "word"))), 1, COMMON_WORDS)
+    common = common.groupBy("lang").agg(best.alias("best"))
+    sums = rows.select("lang", class_counts(F.col("text")).alias("c"))
+    classes = sums.groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(CLASSES) + 1)]).alias("classes"))
+    found = totals.join(classes, "lang").join(common, "lang", "left")
+    words_found = F.coalesce(F.transform("best", lambda w: w["word"]), F.array().cast("array<string>"))
+    counts_found = F.coalesce(F.transform("best", lambda w: -w["less"]), F.array().cast("array<long>"))
+    others = F.col("total") - F.aggregate(counts_found, F.lit(0).cast("long"), lambda a, x: a + x)
+    return written(found.select("lang", "classes", words_found.alias("words"), F.concat(counts_found, F.array(others)).alias("counts")), "references")
+
+
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Reference]:
+    """``reference_table`` by language, for a corpus of few languages."""
+    return {r["lang"]: Reference(list(r["classes"]), list(r["words"]), list(r["counts"])) for r in reference_table(docs, text, lang).collect()}
 
-    def array(values: list, kind: str) -> Column:
-        return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
 
-    ref_classes = pick({k: array(r.classes, "double") for k, r in references.items()}, "array<double>")
-    ref_words = pick({k: array(r.words, "string") for k, r in references.items()}, "array<string>")
-    ref_counts = pick({k: array(r.counts, "double") for k, r in references.items()}, "array<double>")
+def quality_metrics(text: Column, reference: Column) -> Column:
+    """One struct per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
+    word_distance, kept. ``reference`` is a row of ``reference_table`` as a struct. Distances are NULL below the guard or
+    without a reference, and then don't decide."""
+    ref_classes, ref_counts = reference["classes"].cast("array<double>"), reference["counts"].cast("array<double>")
+    ref_words = reference["words"]
 
     def measured(t: Column, words: Column, n: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(NO_SPACE))
@@ -185,20 +173,36 @@ def quality_metrics(text: Column, lang: Column, references: dict[str, Reference]
         words_of(t), lambda words: let(F.size(words), lambda n: measured(t, words, n))))
 
 
+def _with_quality(docs: DataFrame, text: str, lang: str, references: DataFrame, name: str) -> DataFrame:
+    """The columns of ``docs`` and the struct ``name``; the references are joined by language."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != name]).alias("row"), F.struct(
+        F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).alias("own"))
+    refs = references.select(F.col("lang").alias("of"), F.struct("classes", "words", "counts").alias("reference"))
+    joined = rows.join(refs, F.col("own.lang") == F.col("of"), "left")
+    return joined.select("row.*", quality_metrics(F.col("own.text"), F.col("reference")).alias(name))
+
+
 def score_quality(docs: DataFrame, text: str = "text", lang: str = "lang", references: dict[str, Reference] | None = None,
                   name: str = "quality") -> DataFrame:
     """Add a struct ``name`` with the measures and the verdict; see ``quality_metrics``.
 
-    Map-side apart from the references. A NULL or empty text has no words and fails; a NULL or rare language has no
-    reference, so only the base rules decide; repeated rows are each judged alike; an empty table gives an empty result;
-    a column called ``name`` is replaced, other extra columns pass through.
+    Map-side apart from the references, a row per language, which Spark broadcasts if it finds them small. A NULL or
+    empty text has no words and fails; a NULL language or one of less than ``LANGUAGE_WORDS`` words has no reference, so
+    only the base rules decide; repeated rows are each judged alike; an empty table gives an empty result; a column
+    called ``name`` is replaced, other extra columns pass through.
     """
+    return _with_quality(docs, text, lang, _as_table(docs, text, lang, references), name)
+
+
+def _as_table(docs: DataFrame, text: str, lang: str, references: dict[str, Reference] | None) -> DataFrame:
     if references is None:
-        references = language_references(docs, text, lang)
-    return docs.withColumn(name, quality_metrics(F.col(text), F.col(lang).cast("string"), references))
+        return reference_table(docs, text, lang)
+    rows = [(k, r.classes, r.words, r.counts) for k, r in references.items()]
+    return docs.sparkSession.createDataFrame(rows, "lang string, classes array<long>, words array<string>, counts array<long>")
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose verdict is kept, with their columns as they are."""
-    references = language_references(docs, text, lang)
-    return docs.filter(quality_metrics(F.col(text), F.col(lang).cast("string"), references)["kept"])
+    name = "quality of " + " ".join(docs.columns)
+    scored = _with_quality(docs, text, lang, reference_table(docs, text, lang), name)
+    return scored.filter(F.col(f"`{name}`")["kept"]).drop(name)

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -104,6 +105,19 @@ def test_edge_cases(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
 
 
+def test_rare_languages_are_tested_too(spark):
+    rng, rows = random.Random(3), []
+    for lang, n in (("en", 1_500), ("t1", 8), ("t2", 8)):
+        for _ in range(n):
+            text = " ".join(rng.choice([f"{lang}the", f"{lang}of", "".join(rng.choices("abcdefgh", k=6))]) for _ in range(400))
+            rows.append((len(rows), text, lang))
+    broken = [len(rows), len(rows) + 1]
+    rows += [(i, " ".join("|%d|X" % rng.randrange(10**6) for _ in range(100)), lang) for i, lang in zip(broken, ("t1", "t2"))]
+    got = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("doc_id", "quality.*").collect()
+    assert all(r.char_distance is not None for r in got)
+    assert [r.doc_id for r in got if not r.kept] == broken
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert quality.language_references(docs) == {}
