@@ -2,14 +2,15 @@
 
 A document fails when it breaks a base rule, or when its text is distributed unlike its language: the Jensen-Shannon
 distance between its histogram and that of the language is above a limit, for character classes or for common words.
-Short documents scatter widely, so both tests need ``MIN_WORDS`` words, and the limits widen with 1 / sqrt(words).
+Short documents scatter widely, so both tests need ``MIN_WORDS`` words, and the limits widen with 1 / sqrt(words). A
+limit is taken from the spread of the distances of all tested documents of the language (see ``distance_limits``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.base import NO_SPACE, SPACE, let, written
@@ -21,8 +22,12 @@ WINDOW = 8                  # words of a window that may repeat
 MIN_BASE_WORDS = 20         # fewer words fail
 MAX_REPEATED_PERCENT = 30   # more words than this in repeated windows fail
 MIN_WORDS = 60              # guard of both divergence tests
-CHAR_LIMIT = (0.25, 0.7)    # limit = first + second / sqrt(words)
+CHAR_LIMIT = (0.25, 0.7)    # limit = first + second / sqrt(words); the first where a language has none of its own
 WORD_LIMIT = (0.23, 0.8)
+LIMIT_DOCS = 20             # tested documents a language needs for limits of its own
+SPREADS = 3                 # a limit lies so many interquartile ranges above the median
+LEAST_MARGIN = 0.05         # and at least this much, for languages of uniform documents
+LIMIT_STEPS = 4_096         # distances are counted in steps of 1 / this
 COMMON_WORDS = 32           # words of a language's histogram, at most
 COMMON_SHARE = 0.005        # a common word makes up this share of its language's words, at least
 LANGUAGE_WORDS = 2_000      # a language with fewer words of its own gets no reference, whatever the other languages have
@@ -138,6 +143,27 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     return {r["lang"]: Reference(list(r["classes"]), list(r["words"]), list(r["counts"])) for r in reference_table(docs, text, lang).collect()}
 
 
+def distance_limits(measured: DataFrame) -> DataFrame:
+    """``lang, char_limit, word_limit`` of each language with ``LIMIT_DOCS`` tested documents or more, from ``lang`` and
+    ``quality`` (see ``quality_metrics``): median plus ``SPREADS`` interquartile ranges (``LEAST_MARGIN`` at least) of the distances, less their part
+    that depends on the words, over all documents that the base rules pass. Junk moves quartiles little until it is a
+    quarter of the language.
+
+    Distances are counted by steps, added up before the shuffle, so the quartiles take every row and a language has at
+    most 2 x ``LIMIT_STEPS`` counts for each distance.
+    """
+    tested = measured.filter("lang IS NOT NULL AND NOT quality.base_failed")
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.floor((F.col(f"quality.{kind}_distance") - second / F.sqrt("quality.n_words")) * LIMIT_STEPS).alias("step"))
+             for kind, (_, second) in (("char", CHAR_LIMIT), ("word", WORD_LIMIT))]
+    steps = tested.select("lang", F.explode(F.array(*kinds)).alias("at")).select("lang", "at.*").filter("step IS NOT NULL")
+    counts = steps.groupBy("lang", "kind", "step").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang", "kind")
+    counts = counts.withColumns({"upto": F.sum("n").over(own.orderBy("step")), "total": F.sum("n").over(own)}).filter(F.col("total") >= LIMIT_DOCS)
+    quartiles = [F.min(F.when(F.col("upto") >= F.col("total") * q / 4, (F.col("step") + 0.5) / LIMIT_STEPS)).alias(f"q{q}") for q in (1, 2, 3)]
+    limits = counts.groupBy("lang", "kind").agg(*quartiles).withColumn("limit", F.col("q2") + F.greatest(F.lit(LEAST_MARGIN), SPREADS * (F.col("q3") - F.col("q1"))))
+    return limits.groupBy("lang").agg(*[F.max(F.when(F.col("kind") == kind, F.col("limit"))).alias(f"{kind}_limit") for kind in ("char", "word")])
+
+
 def quality_metrics(text: Column, reference: Column) -> Column:
     """One struct per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
     word_distance, kept. ``reference`` is a row of ``reference_table`` as a struct. Distances are NULL below the guard or
@@ -161,48 +187,63 @@ def quality_metrics(text: Column, reference: Column) -> Column:
 
     def verdict(m: Column) -> Column:
         failed = (m["n_words"] < MIN_BASE_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED_PERCENT * m["n_words"])
-
-        def beyond(distance: Column, limit: tuple[float, float]) -> Column:
-            return F.coalesce(distance > limit[0] + limit[1] / F.sqrt(m["n_words"]), F.lit(False))
-
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance"]
-        return F.struct(*[m[x].alias(x) for x in names], failed.alias("base_failed"), (
-            ~failed & ~beyond(m["char_distance"], CHAR_LIMIT) & ~beyond(m["word_distance"], WORD_LIMIT)).alias("kept"))
+        with_base = F.struct(*[m[x].alias(x) for x in names], failed.alias("base_failed"))
+        return let(with_base, lambda x: x.withField("kept", kept(x, F.lit(CHAR_LIMIT[0]), F.lit(WORD_LIMIT[0]))))
 
     return let(F.coalesce(text, F.lit("")), lambda t: let(
         words_of(t), lambda words: let(F.size(words), lambda n: measured(t, words, n))))
 
 
-def _with_quality(docs: DataFrame, text: str, lang: str, references: DataFrame, name: str) -> DataFrame:
-    """The columns of ``docs`` and the struct ``name``; the references are joined by language."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != name]).alias("row"), F.struct(
-        F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).alias("own"))
+def kept(m: Column, char_limit: Column, word_limit: Column) -> Column:
+    """The verdict on measures, under the parts of the limits that don't depend on the words."""
+    def beyond(distance: Column, first: Column, second: float) -> Column:
+        return F.coalesce(distance > first + second / F.sqrt(m["n_words"]), F.lit(False))
+
+    return ~m["base_failed"] & ~beyond(m["char_distance"], char_limit, CHAR_LIMIT[1]) & ~beyond(m["word_distance"], word_limit, WORD_LIMIT[1])
+
+
+def _measured(docs: DataFrame, text: str, lang: str, references: DataFrame, columns: list[str]) -> DataFrame:
+    """``row`` (the ``columns`` of ``docs``), ``lang`` and the struct ``quality`` under the fixed limits."""
+    rows = docs.select(F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).alias("text"),
+                       F.col(lang).cast("string").alias("lang"))
     refs = references.select(F.col("lang").alias("of"), F.struct("classes", "words", "counts").alias("reference"))
-    joined = rows.join(refs, F.col("own.lang") == F.col("of"), "left")
-    return joined.select("row.*", quality_metrics(F.col("own.text"), F.col("reference")).alias(name))
+    joined = rows.join(refs, F.col("lang") == F.col("of"), "left")
+    return joined.select("row", "lang", quality_metrics(F.col("text"), F.col("reference")).alias("quality"))
+
+
+def _judged(docs: DataFrame, text: str, lang: str, columns: list[str]) -> DataFrame:
+    """``_measured`` with the verdict under each language's own limits. Measures are written, so they are taken once."""
+    measured = written(_measured(docs, text, lang, reference_table(docs, text, lang), columns), "measured")
+    limits = written(distance_limits(measured), "limits").withColumnRenamed("lang", "of")
+    verdict = kept(F.col("quality"), F.coalesce("char_limit", F.lit(CHAR_LIMIT[0])), F.coalesce("word_limit", F.lit(WORD_LIMIT[0])))
+    joined = measured.join(limits, F.col("lang") == F.col("of"), "left")
+    return joined.select("row", F.col("quality").withField("kept", verdict).alias("quality"))
 
 
 def score_quality(docs: DataFrame, text: str = "text", lang: str = "lang", references: dict[str, Reference] | None = None,
-                  name: str = "quality") -> DataFrame:
+                  name: str = "quality", columns: list[str] | None = None) -> DataFrame:
     """Add a struct ``name`` with the measures and the verdict; see ``quality_metrics``.
 
-    Map-side apart from the references, a row per language, which Spark broadcasts if it finds them small. A NULL or
+    Without ``references`` they and each language's limits come from ``docs``; with given ones the fixed limits hold.
+    Map-side apart from tables with a row per language, which Spark broadcasts if it finds them small. A NULL or
     empty text has no words and fails; a NULL language or one of less than ``LANGUAGE_WORDS`` words has no reference, so
     only the base rules decide; repeated rows are each judged alike; an empty table gives an empty result; a column
-    called ``name`` is replaced, other extra columns pass through.
+    called ``name`` is replaced; of the others ``columns`` pass through, or all.
     """
-    return _with_quality(docs, text, lang, _as_table(docs, text, lang, references), name)
+    columns = [c for c in (docs.columns if columns is None else columns) if c != name]
+    if references is None:
+        judged = _judged(docs, text, lang, columns)
+    else:
+        judged = _measured(docs, text, lang, _as_table(docs, references), columns)
+    return judged.select(*[F.col(f"row.`{c}`") for c in columns], F.col("quality").alias(name))
 
 
-def _as_table(docs: DataFrame, text: str, lang: str, references: dict[str, Reference] | None) -> DataFrame:
-    if references is None:
-        return reference_table(docs, text, lang)
+def _as_table(docs: DataFrame, references: dict[str, Reference]) -> DataFrame:
     rows = [(k, r.classes, r.words, r.counts) for k, r in references.items()]
     return docs.sparkSession.createDataFrame(rows, "lang string, classes array<long>, words array<string>, counts array<long>")
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose verdict is kept, with their columns as they are."""
-    name = "quality of " + " ".join(docs.columns)
-    scored = _with_quality(docs, text, lang, reference_table(docs, text, lang), name)
-    return scored.filter(F.col(f"`{name}`")["kept"]).drop(name)
+    return _judged(docs, text, lang, docs.columns).filter("quality.kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])

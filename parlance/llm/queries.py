@@ -72,7 +72,7 @@ def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @register("op8_quality_divergence")
 def op8_quality_divergence(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return quality.score_quality(docs).select("doc_id", "quality.*")
+    return quality.score_quality(docs, columns=["doc_id"]).select("doc_id", "quality.*")
 
 
 @register("op9_best_fit_packing")

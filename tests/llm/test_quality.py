@@ -105,6 +105,16 @@ def test_edge_cases(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
 
 
+def test_recall_and_false_rejections_against_labels(spark):
+    path = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    docs = spark.read.parquet(f"{path}/documents.parquet").join(labels, "doc_id", "left")
+    got = quality.score_quality(docs, columns=["doc_id", "label"]).filter("label IS NOT NULL AND NOT quality.base_failed AND quality.n_words >= 60")
+    shares = {r.label: r.kept for r in got.groupBy("label").agg(F.avg(F.col("quality.kept").cast("int")).alias("kept")).collect()}
+    assert shares[0] < 0.1
+    assert shares[1] > 0.995
+
+
 def test_rare_languages_are_tested_too(spark):
     rng, rows = random.Random(3), []
     for lang, n in (("en", 1_500), ("t1", 8), ("t2", 8)):
