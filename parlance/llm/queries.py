@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, jaccard, lines, mixing, packing, phrases, quality, shards, tokenfiles, warc
+from parlance.llm import chat, jaccard, lines, mixing, packing, phrases, quality, shards, tokenfiles, url_queries, warc
 from parlance.llm.base import table, written
 
 LABELS = ["quality", "toxic"]
@@ -149,3 +149,6 @@ def op6_prefix_targets(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(
         "conv_id", F.size("texts").cast("long").alias("n_turns"), F.sha2(F.array_join(spoken, "").cast("binary"), 256).alias("turns_sha256"),
         F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+register("op11_host_reputation", url_queries.SQL)(url_queries.op11_host_reputation)
