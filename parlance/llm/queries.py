@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, jaccard, lines, merkle_queries, mixing, packing, phrases, quality, shards, tokenfiles, url_queries, warc
+from parlance.llm import chat, jaccard, lines, merkle_queries, mixing, packing, phrases, quality, shards, spelling_queries, tokenfiles, url_queries, warc
 from parlance.llm.base import table, written
 
 LABELS = ["quality", "toxic"]
@@ -152,4 +152,5 @@ def op6_prefix_targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("op11_host_reputation", url_queries.SQL)(url_queries.op11_host_reputation)
+register("op12_spelling_variants", spelling_queries.SQL)(spelling_queries.op12_spelling_variants)
 register("op13_merkle_manifest", merkle_queries.SQL)(merkle_queries.op13_merkle_manifest)
