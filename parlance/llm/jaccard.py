@@ -14,9 +14,9 @@ first in one fixed order, the most central documents first). For two members x a
 leader o (then they are in one component already), what they share inside o is at most |x & o| for an unlinked x. So
 either they share a gram outside o - they meet again in the much smaller group (o, gram) - or y is smaller than o, and both
 share at least 75 % of their grams with o - they meet in the group (o, rest). Groups within one component are done. Groups are cut by size, and members that have
-too few grams in common with anyone to link with any size in the group leave it. As soon as the pairs left across
-components are few (``PAIRS_PER_ROW`` times the candidate rows, so linear in the input) they are compared directly;
-until then groups get new leaders, later in the order each time, so this ends. No link between components is lost.
+too few grams in common with anyone to link with any size in the group leave it. What the first leaders leave is compared in
+blocks of about ``BLOCK_SETS`` sets, fragment by fragment, without pairs as rows, as soon as that repeats a row ``REPEATS`` times at
+most on average; until then groups get new leaders, later in the order each time, so this ends. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -34,12 +34,15 @@ from pyspark.sql.window import Window
 
 from parlance.llm.base import column, parts_of, written
 from parlance.llm.components import connected_components
+from parlance.llm.hot import join_keyed
 from parlance.llm.words import shingle_set
 
 SAMPLE_DOCS = 2_048     # documents whose grams are looked at for common ones
+COMMON_GRAMS = 1 << 18  # most of them that are known beforehand
 COMMON_IN_SAMPLE = 4    # distinct sets of the sample that make a gram common
 HOT_CLASSES = 1_000     # a class with more than 1 / this of all rows is entered by one row only
-PAIRS_PER_ROW = 32
+BLOCK_SETS, BLOCK_GRAMS = 1_024, 1 << 18  # about what a block of sets that are compared in one task holds
+REPEATS = 32            # how often a candidate row may be repeated on average for the last comparison
 
 
 @dataclass(frozen=True)
@@ -69,7 +72,11 @@ def _class_of(grams: np.ndarray) -> bytes | None:
 
 
 def _common_grams(docs: DataFrame, plan: Plan) -> np.ndarray:
-    """Grams of at least ``COMMON_IN_SAMPLE`` distinct sets among ``SAMPLE_DOCS`` documents (those of smallest id hash)."""
+    """Grams of at least ``COMMON_IN_SAMPLE`` distinct sets in a sample of about ``SAMPLE_DOCS`` rows, the ``COMMON_GRAMS`` most frequent.
+
+    Rows are taken by a hash of their number, below a threshold that follows from the count: texts aren't shuffled for it. What
+    the sample misses costs time only.
+    """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches, "text"):
             for text in column(batch, "text").to_pylist():
@@ -79,14 +86,17 @@ def _common_grams(docs: DataFrame, plan: Plan) -> np.ndarray:
                     grams = grams[grams < plan.limit]
                     yield pa.RecordBatch.from_arrays([_signed(grams), pa.array(np.full(len(grams), key))], names=["h", "k"])
 
-    sample = docs.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(SAMPLE_DOCS)
-    rows = sample.mapInArrow(emit, "h long, k long").groupBy("h").agg(F.countDistinct("k").alias("n"))
-    found = rows.filter(F.col("n") >= COMMON_IN_SAMPLE).select("h").toArrow().column("h")
+    total = docs.select("id").count()
+    share = min(1.0, SAMPLE_DOCS / max(total, 1))
+    sample = docs.select("text", F.xxhash64(F.monotonically_increasing_id()).alias("r")).filter(F.col("r") / 2.0**63 <= 2 * share - 1)
+    rows = sample.select("text").mapInArrow(emit, "h long, k long").groupBy("h").agg(F.countDistinct("k").alias("n"))
+    found = rows.filter(F.col("n") >= COMMON_IN_SAMPLE).orderBy(F.desc("n"), "h").limit(COMMON_GRAMS).select("h").toArrow().column("h")
     return np.sort(np.asarray(found).astype(np.int64).view(np.uint64))
 
 
 def _classes(docs: DataFrame, plan: Plan, common: np.ndarray) -> DataFrame:
-    """``id, cls, k, n, m, known``: set of each row; its size, its grams in the probe, and how many of these are common."""
+    """``id, t, cls, k, n, m, known``: a digest of the text and the set of each row; the set's size, its grams in the probe, and how many of
+    these are common."""
     limit = np.uint64(plan.limit)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +110,12 @@ def _classes(docs: DataFrame, plan: Plan, common: np.ndarray) -> DataFrame:
                 out.append((cls, int.from_bytes(cls[:8], "little", signed=True) if cls else None, len(grams), m, known))
             cls, k, n, m, known = zip(*out)
             yield pa.RecordBatch.from_arrays([
-                column(batch, "id"), pa.array(cls, pa.binary()), pa.array(k, pa.int64()), pa.array(n, pa.int64()),
-                pa.array(m, pa.int64()), pa.array(known, pa.int64())], names=["id", "cls", "k", "n", "m", "known"])
+                column(batch, "id"), column(batch, "t"), pa.array(cls, pa.binary()), pa.array(k, pa.int64()), pa.array(n, pa.int64()),
+                pa.array(m, pa.int64()), pa.array(known, pa.int64())], names=["id", "t", "cls", "k", "n", "m", "known"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(emit, f"id {kind}, cls binary, k long, n long, m long, known long")
+    rows = docs.select("id", "text", F.md5("text").alias("t"))
+    return rows.mapInArrow(emit, f"id {kind}, t string, cls binary, k long, n long, m long, known long")
 
 
 def _shared_in_probe(docs: DataFrame, plan: Plan, common: np.ndarray, hot: dict[bytes, object]) -> DataFrame:
@@ -224,26 +235,20 @@ def _links(sets: DataFrame, plan: Plan) -> DataFrame:
         parts = named.groupBy(F.col("of").alias("g_of"), F.col("s").alias("g_s"), "label").agg(
             F.count("*").alias("n"), *[F.expr(f"bit_xor(xxhash64(x, {i}))").alias(f"m{i}") for i in (1, 2)])
         kept = parts.groupBy("g_of", "g_s").agg(
-            F.count("*").alias("labels"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"),
+            F.count("*").alias("labels"), F.sum("n").alias("size"),
             *[F.expr(f"bit_xor(m{i})").alias(f"members{i}") for i in (1, 2)])
         # Near copies share many grams, so many groups have the same members: one of them is enough.
-        kept = kept.filter("labels > 1").dropDuplicates(["size", "members1", "members2"]).select(
-            "g_of", "g_s", "size", (F.col("size") * F.col("size") - F.col("within")).alias("across"))
+        kept = kept.filter("labels > 1").dropDuplicates(["size", "members1", "members2"]).select("g_of", "g_s")
         same = F.col("of").eqNullSafe(F.col("g_of")) & F.col("s").eqNullSafe(F.col("g_s"))
         live = written(named.join(kept, same).drop("g_of", "g_s"), "live")
-        # Ordered pairs across components; each group is counted once, by its share of every member row.
-        left, pairs = live.agg(F.count("*"), F.sum(F.col("across") / F.col("size"))).first()
-        if not left:
+        if live.isEmpty():
             return found
-        if labels is not None and pairs <= 2 * PAIRS_PER_ROW * rows:
-            one, two = live.alias("p"), live.alias("q")
-            # Sets of too different sizes can't link, nor those with too few grams that others have.
-            alike = 100 * F.least("p.n", "q.n") >= plan.percent * F.greatest("p.n", "q.n")
-            alike &= (F.col("p.n") <= F.col("q.most")) & (F.col("q.n") <= F.col("p.most"))
-            met = F.col("p.of").eqNullSafe(F.col("q.of")) & F.col("p.s").eqNullSafe(F.col("q.s")) & (F.col("p.label") < F.col("q.label"))
-            across = one.join(two, met & alike).select(F.least("p.x", "q.x").alias("o"), F.greatest("p.x", "q.x").alias("x")).distinct()
-            last = _linked(_compare(across, segments, extra=False), sizes, plan).filter("linked")
-            return found.union(last.select(F.col("o").alias("a"), F.col("x").alias("b")))
+        if labels is not None:
+            units = _units(live, ordered)
+            repeated = units.agg(F.sum(F.col("blocks").cast("double"))).first()[0]
+            if repeated <= REPEATS * rows:
+                last = _compare_blocks(units, segments, sizes, plan)
+                return found.union(last)
         members = live.select("of", "s", "x").join(sizes.select(F.col("cid").alias("x"), "central"), "x")
         leader = members.groupBy("of", "s").agg(F.min(F.struct(-F.col("central"), F.col("x"))).alias("first"))
         leader = leader.select(F.col("of").alias("g_of"), F.col("s").alias("g_s"), F.col("first.x").alias("o"))
@@ -255,6 +260,98 @@ def _links(sets: DataFrame, plan: Plan) -> DataFrame:
         groups = written(_next_groups(result, compared, plan), "groups")
 
 
+def _units(live: DataFrame, ordered: DataFrame) -> DataFrame:
+    """``unit, x, label, blocks``: members that are compared with each other, so that all members of each group meet.
+
+    Near copies meet in many groups of nearly the same members. A unit is a cluster of groups that have members in common, if
+    its rows are fewer (``blocks``: how often its members are repeated, see ``_compare_blocks``) than those of its groups.
+    """
+    least = live.groupBy("of", "s").agg(F.min("x").alias("o")).select(F.col("of").alias("g_of"), F.col("s").alias("g_s"), "o")
+    same = F.col("of").eqNullSafe(F.col("g_of")) & F.col("s").eqNullSafe(F.col("g_s"))
+    rows = written(live.join(least, same).select("x", "label", "o", F.xxhash64("of", F.col("of").isNull(), "s").alias("g")), "unit-rows")
+    cluster = connected_components(rows.select(F.col("x").alias("a"), F.col("o").alias("b")))
+    known = ordered.select(F.col("cid").alias("x"), F.size("grams").alias("grams"))
+    rows = rows.join(cluster.withColumnRenamed("node", "x").withColumnRenamed("label", "cluster"), "x").join(known, "x").drop("o")
+    rows = written(rows, "clustered")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("grams") / BLOCK_GRAMS)).alias("blocks")
+    groups = rows.groupBy("cluster", "g").agg(F.count("*").alias("size"), blocks)
+    whole = rows.select("cluster", "x", "grams").distinct().groupBy("cluster").agg(F.count("*").alias("size"), blocks.alias("whole"))
+    cost = groups.groupBy("cluster").agg(F.sum(F.col("size") * F.col("blocks")).alias("apart"))
+    choice = whole.join(cost, "cluster").select("cluster", "whole", (F.col("size") * F.col("whole") <= F.col("apart")).alias("together"))
+    chosen = rows.join(choice, "cluster").join(groups.select("cluster", "g", "blocks"), ["cluster", "g"])
+    unit = F.when(F.col("together"), F.col("cluster")).otherwise(F.col("g"))
+    return written(chosen.select(unit.alias("unit"), "together", "x", "label", F.when(F.col("together"), F.col("whole")).otherwise(F.col("blocks")).alias("blocks")).distinct(), "units")
+
+
+def _compare_blocks(units: DataFrame, segments: DataFrame, sizes: DataFrame, plan: Plan) -> DataFrame:
+    """``a, b``: links that join the members of each unit, from comparing all of them.
+
+    The members are dealt to ``blocks`` blocks; each two blocks meet in one task, which counts what their sets share fragment by
+    fragment and adds it up per pair. Pairs stay inside the task: it returns a link per set at most.
+    """
+    per_set = segments.groupBy(F.col("cid").alias("x")).agg(F.sort_array(F.collect_list(F.struct("f", "seg"))).alias("parts"))
+    rows = units.join(sizes.select(F.col("cid").alias("x"), "n", "most"), "x").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("unit", "together", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "x", "label", "n", "most")
+    rows = rows.join(per_set, "x")
+
+    def compare(table: pa.Table) -> pa.Table:
+        x, n, most, label = (np.asarray(table.column(c)) for c in ("x", "n", "most", "label"))
+        shared = np.zeros((len(x), len(x)), np.float32)
+        for f in range(plan.fragments):
+            owners, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row, parts in enumerate(table.column("parts")):
+                at, seg = np.asarray(parts.values.field("f")), parts.values.field("seg")
+                for k in np.flatnonzero(at == f):
+                    grams.append(np.asarray(seg[int(k)].values))
+                    owners.append(np.full(len(grams[-1]), row))
+            _add_overlaps(shared, np.concatenate(owners), np.concatenate(grams))
+        union = n[:, None] + n[None, :] - shared
+        linked = (100 * shared >= plan.percent * union) & (label[:, None] != label[None, :])
+        linked &= (n[:, None] <= most[None, :]) & (n[None, :] <= most[:, None])
+        np.fill_diagonal(linked, False)
+        first = np.arange(len(x))
+        while True:  # the smallest row that links reach
+            ahead = np.where(linked, first[None, :], len(x)).min(axis=1, initial=len(x))
+            now = np.minimum(first, ahead)
+            now = now[now]
+            if (now == first).all():
+                break
+            first = now
+        moved = np.flatnonzero(first != np.arange(len(x)))
+        return pa.table({"a": pa.array(x[moved]), "b": pa.array(x[first[moved]])})
+
+    return rows.groupBy("unit", "together", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _add_overlaps(shared: np.ndarray, owners: np.ndarray, grams: np.ndarray, rare: int = 16) -> None:
+    """Add to ``shared`` how many grams each two owners have in common: rare grams pair by pair, frequent ones as a matrix product."""
+    order = np.argsort(grams, kind="stable")
+    grams, owners = grams[order], owners[order]
+    starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[starts, len(grams)])
+    column_of = np.repeat(np.arange(len(starts)), counts)
+    few = (counts >= 2) & (counts <= rare)
+    keep = few[column_of] if len(grams) else np.zeros(0, bool)
+    at, who = column_of[keep], owners[keep]
+    size = len(shared)
+    for k in range(1, min(rare, len(at))):
+        met = at[k:] == at[:-k]
+        if not met.any():
+            break
+        pairs = np.bincount(who[:-k][met] * size + who[k:][met], minlength=size * size).reshape(size, size)
+        shared += pairs
+        shared += pairs.T
+    many = np.flatnonzero(counts > rare)
+    for lot in range(0, len(many), 2_048):
+        chosen = np.full(len(starts), -1)
+        chosen[many[lot:lot + 2_048]] = np.arange(len(many[lot:lot + 2_048]))
+        spot = chosen[column_of]
+        own = np.zeros((size, min(2_048, len(many) - lot)), np.float32)
+        own[owners[spot >= 0], spot[spot >= 0]] = 1
+        shared += own @ own.T
+
+
 def _possible(groups: DataFrame, sizes: DataFrame, plan: Plan) -> DataFrame:
     """Groups cut by size, so that sets whose sizes allow a link meet in one at least, without the members that can't link
     with any size in it."""
@@ -278,14 +375,8 @@ def _next_groups(result: DataFrame, compared: DataFrame, plan: Plan) -> DataFram
     return outside.union(rest.select(F.lit(None).cast("long"), "o", "x"))
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
-    """``id, cls, n_shingles, component`` per row of ``docs``; ``component`` is the smallest id that links reach.
-
-    A NULL, empty or wordless text has no shingles and stays alone, also beside others of its kind. Rows of one id are
-    rows of their own, and copies of a set are one class whatever their ids. A component whose ids are all NULL has a NULL
-    id; otherwise NULL ids are passed over. Extra columns are ignored; an empty table gives an empty result.
-    """
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+def _found(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``id, t, n, component, group`` per row of ``docs`` (``id, text``): ``t`` is a digest of the text, ``group`` names the component."""
     common = _common_grams(docs, plan)
     classes = written(_classes(docs, plan, common), "classes")
     full = classes.filter("n > 0")
@@ -303,17 +394,43 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pl
     labels = connected_components(_links(sets, plan))
     named = sets.select("cls", "cid").join(labels, F.col("cid") == F.col("node")).select("cls", "label")
     at = reps.join(named, "cls").groupBy("label").agg(F.min("rep").alias("component"))
-    merged = named.join(at, "label").select("cls", "component")
-    whole = reps.join(merged, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    return classes.join(whole, "cls", "left").select("id", "cls", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    merged = named.join(at, "label").select("cls", "component", F.col("label").cast("string").alias("group"))
+    whole = reps.join(merged, "cls", "left").select(
+        "cls", "copies", F.coalesce("component", "rep").alias("component"), F.coalesce("group", F.hex("cls")).alias("group"))
+    # A class of copies may hold a third of all rows, and rows without a set have no class.
+    out = join_keyed(classes, written(whole, "components"), "cls", "copies", [F.monotonically_increasing_id()], "left")
+    return out.select("id", "t", "n", F.coalesce("component", "id").alias("component"), "group", "cls")
+
+
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
+    """``id, cls, n_shingles, component`` per row of ``docs``; ``component`` is the smallest id that links reach.
+
+    A NULL, empty or wordless text has no shingles and stays alone, also beside others of its kind. Rows of one id are
+    rows of their own, and copies of a set are one class whatever their ids. A component whose ids are all NULL has a NULL
+    id; otherwise NULL ids are passed over. Extra columns are ignored; an empty table gives an empty result.
+    """
+    found = _found(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), plan)
+    return found.select("id", "cls", F.col("n").alias("n_shingles"), "component")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
-    """One row of each component of ``jaccard_classes``: the one with the smallest id.
+    """One row of each component of ``jaccard_classes``: that with the smallest id (NULL is the largest), of these that with the
+    smallest digest of its text, and one of those that agree in both.
 
-    Rows without shingles all stay. Of rows with equal ids in a component one is kept, chosen by the hash of its text.
+    Rows without shingles all stay. Rows are told apart by id and text, so an unrelated text with the id of a copy stays. Columns
+    are those of ``docs``.
     """
-    found = jaccard_classes(docs, key, text, plan)
-    gone = found.filter("NOT (id <=> component)").select(F.col("id").alias("__gone")).filter("__gone IS NOT NULL")
-    kept = docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
-    return kept
+    found = _found(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), plan).filter("n > 0")
+    rows = written(found.groupBy("group", "id", "t").agg(F.count("*").alias("rows")), "rows-of-groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("t"))).alias("k")
+    keepers = rows.groupBy("group").agg(first).select("group", F.col("k.id").alias("k_id"), F.col("k.t").alias("k_t"))
+    marked = rows.join(keepers, "group").withColumn("stays", F.col("id").eqNullSafe(F.col("k_id")) & (F.col("t") == F.col("k_t")))
+    marked = written(marked.filter("NOT stays OR rows > 1").select(F.col("id").alias("__id"), F.col("t").alias("__t"), "stays"), "marked")
+    own = docs.withColumn("__digest", F.md5(text))
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__t"))
+    kept = own.join(marked.filter("NOT stays").drop("stays"), same, "left_anti")
+    repeated = marked.filter("stays").drop("stays")
+    if not repeated.isEmpty():
+        single = kept.join(repeated, same, "left_semi").dropDuplicates([key, "__digest"])
+        kept = kept.join(repeated, same, "left_anti").unionByName(single)
+    return kept.drop("__digest")

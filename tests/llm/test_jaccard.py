@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from parlance.llm import jaccard
@@ -54,7 +55,8 @@ def test_edge_cases(spark):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_hot_groups_of_near_copies(spark, seed, monkeypatch):
     """Many edits of few originals, with shared passages; small limits so that groups go through several levels."""
-    monkeypatch.setattr(jaccard, "PAIRS_PER_ROW", 0 if seed == 1 else 4)
+    monkeypatch.setattr(jaccard, "REPEATS", 0 if seed == 1 else 4)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
     monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 40)
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(3_000)}"
@@ -100,6 +102,58 @@ def test_empty_table_and_kept_rows(spark):
     assert sorted(r.label for r in jaccard.keep_one_of_each(docs).collect()) == ["a", "d", "e"]
 
 
+def test_repeated_and_null_ids(spark):
+    """Rows are told apart by id and text: an unrelated text under a copy's id stays, of equal rows one."""
+    base, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    schema = "doc_id long, text string, label string"
+    rows = [(3, base, "a"), (3, base, "b"), (8, base + " x", "c"), (8, other, "d"), (None, base, "e"), (None, base + " x", "f")]
+    kept = sorted((tuple(r) for r in jaccard.keep_one_of_each(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    assert [r[:2] for r in kept] == [(3, base), (8, other)] and kept[0][2] in ("a", "b")
+    rows = [(None, base, "e"), (None, base + " x", "f"), (None, None, "g"), (None, None, "h"), (None, base, "e"), (5, other, "i"), (5, other + " y", "j")]
+    kept = [tuple(r) for r in jaccard.keep_one_of_each(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(r[2] for r in kept if r[1] is None) == ["g", "h"] and len(kept) == 4
+    assert sum(r[0] is None and r[1] is not None for r in kept) == 1 and sum(r[0] == 5 for r in kept) == 1
+
+
+def test_large_group_without_a_centre(spark, monkeypatch):
+    """Near copies of a text that isn't there itself, many just above or below the threshold: rows stay in proportion."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1_200):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([2, 3, 4, 5])):
+            words[at] = f"e{rng.randrange(400)}"
+        rows.append((i, " ".join(words)))
+    made = []
+    blocks = jaccard._compare_blocks
+
+    def counted(units, *rest):
+        made.append((units.count(), units.selectExpr("sum(blocks)").first()[0], units.selectExpr("max(blocks)").first()[0]))
+        return blocks(units, *rest)
+
+    monkeypatch.setattr(jaccard, "_compare_blocks", counted)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 256)
+    assert run(spark, rows) == plain(rows)
+    (members, repeated, most), = made
+    assert members <= 1_200 and most >= 2 and repeated <= 6 * len(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_overlaps(seed):
+    rng = np.random.default_rng(seed)
+    owners = rng.integers(0, 60, 4_000)
+    grams = (rng.exponential(40, 4_000)).astype(np.int64)
+    both = np.unique(np.stack([owners, grams], 1), axis=0)
+    shared = np.zeros((60, 60), np.float32)
+    jaccard._add_overlaps(shared, both[:, 0], both[:, 1], rare=8)
+    sets = [set(both[both[:, 0] == i, 1].tolist()) for i in range(60)]
+    assert all(shared[i, j] == len(sets[i] & sets[j]) for i in range(60) for j in range(60) if i != j)
+    empty = np.zeros((3, 3), np.float32)
+    jaccard._add_overlaps(empty, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert not empty.any()
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 9), (7, 7), (10, 11), (11, 12), (12, 10)]
     got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
