@@ -6,7 +6,7 @@ import sys
 import pytest
 from test_jaccard import plain as plain_components
 from test_lines import plain as plain_lines
-from test_quality import plain_verdict
+from test_quality import plain_limits, plain_verdict
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -28,6 +28,9 @@ COLUMNS = {
     "op8_quality_divergence": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op9_best_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op10_soft_mixing": ["doc_id", "n_tokens", "rate", "copies"],
+    "op11_host_reputation": ["page_id", "host", "path", "rule", "verdict"],
+    "op12_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op13_merkle_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
 }
 
 
@@ -41,7 +44,9 @@ def test_every_operator_has_its_query():
 def test_columns_and_whole_table(spark, name):
     out = contract.queries()[name](spark, SF)
     assert set(COLUMNS[name]) <= set(out.columns)
-    source = {"op1": "pages", "op6": "conversations"}.get(name.split("_")[0], "documents")
+    if name == "op12_spelling_variants":
+        return
+    source = {"op1": "pages", "op11": "pages", "op6": "conversations"}.get(name.split("_")[0], "documents")
     key = {"pages": "page_id", "conversations": "conv_id"}.get(source, "doc_id")
     keys = {r[0] for r in out.select(key).collect()} - {-1}
     assert keys == {r[0] for r in table(spark, SF, source).select(key).collect()}
@@ -56,7 +61,8 @@ def test_stages(spark):
     kept = written(stages[0](spark, docs, SF), "t0")
     refs = quality.language_references(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, r in state.items() if plain_verdict(r.text, r.lang, refs)[-1]}
+    limits = plain_limits([(r.text, r.lang) for r in state.values()], refs)
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in state.items() if plain_verdict(r.text, r.lang, refs, limits)[-1]}
 
     cleaned = written(stages[1](spark, kept, SF), "t1")
     before = sorted(kept.collect(), key=lambda r: r.doc_id)

@@ -45,7 +45,25 @@ def plain_classes(text):
     return [*out, len(left)]
 
 
-def plain_verdict(text, lang, refs):
+def plain_limits(rows, refs):
+    """(text, lang) rows -> the limits of each language, from the quartiles of its own documents."""
+    found = {}
+    for text, lang in rows:
+        base, *distances, _ = plain_verdict(text, lang, refs)
+        if lang is not None and not base[-1]:
+            for kind, d, (_, second) in zip(("char", "word"), distances, (quality.CHAR_LIMIT, quality.WORD_LIMIT)):
+                if d is not None:
+                    found.setdefault((lang, kind), []).append(math.floor((d - second / math.sqrt(base[0])) * quality.LIMIT_STEPS))
+    limits = {}
+    for at, steps in found.items():
+        steps.sort()
+        if len(steps) >= quality.LIMIT_DOCS:
+            q = [(steps[math.ceil(len(steps) * k / 4) - 1] + 0.5) / quality.LIMIT_STEPS for k in (1, 2, 3)]
+            limits[at] = q[1] + max(quality.LEAST_MARGIN, quality.SPREADS * (q[2] - q[0]))
+    return limits
+
+
+def plain_verdict(text, lang, refs, limits=None):
     base = plain_base(text)
     words = WORD.findall(text or "")
     char = word = None
@@ -56,7 +74,9 @@ def plain_verdict(text, lang, refs):
             n = Counter(words)
             own = [n[w] for w in ref.words]
             word = plain_js([*own, len(words) - sum(own)], ref.counts)
-    far = any(d is not None and d > a + b / math.sqrt(len(words)) for d, (a, b) in ((char, quality.CHAR_LIMIT), (word, quality.WORD_LIMIT)))
+    own = {kind: (limits or {}).get((lang, kind), fixed[0]) for kind, fixed in (("char", quality.CHAR_LIMIT), ("word", quality.WORD_LIMIT))}
+    far = any(d is not None and d > own[kind] + b / math.sqrt(len(words))
+              for kind, d, b in (("char", char, quality.CHAR_LIMIT[1]), ("word", word, quality.WORD_LIMIT[1])))
     return base, char, word, not base[-1] and not far
 
 
@@ -79,6 +99,33 @@ def test_against_plain_version(spark):
     assert 0.5 < sum(r.kept for r in got) / len(got) < 1
 
 
+def test_whole_result_under_each_languages_own_limits(spark):
+    """The query's own path: references and limits from all documents, against the plain version."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    refs = quality.language_references(docs)
+    limits = plain_limits([(r.text, r.lang) for r in rows], refs)
+    assert len(limits) >= 2
+    want = {r.doc_id: plain_verdict(r.text, r.lang, refs, limits)[-1] for r in rows}
+    got = {r.doc_id: r.quality.kept for r in quality.score_quality(docs).collect()}
+    assert got == want and got != {r.doc_id: plain_verdict(r.text, r.lang, refs)[-1] for r in rows}
+
+
+def test_languages_at_the_least_number_of_documents(spark):
+    """With ``LIMIT_DOCS`` tested documents a language has its own limits, with one less the fixed ones."""
+    rng, rows = random.Random(4), []
+    for lang, n in (("at", quality.LIMIT_DOCS), ("below", quality.LIMIT_DOCS - 1)):
+        for _ in range(n):
+            rows.append((len(rows), " ".join(rng.choice([f"{lang}the", "of", "".join(rng.choices("abcdefgh", k=6))]) for _ in range(400)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    measured = quality.score_quality(docs).select("lang", "quality")
+    assert [r.lang for r in quality.distance_limits(measured).collect()] == ["at"]
+    refs = quality.language_references(docs)
+    limits = plain_limits([r[1:] for r in rows], refs)
+    got = {r.doc_id: r.quality.kept for r in quality.score_quality(docs).collect()}
+    assert got == {i: plain_verdict(t, lang, refs, limits)[-1] for i, t, lang in rows}
+
+
 def test_references_are_exact_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     refs = quality.language_references(docs)
