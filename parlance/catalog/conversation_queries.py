@@ -71,20 +71,23 @@ def segments_per_session(spark, sf):
     return segments.segment_rollup(segments.bounded_segments(_segmented(spark, sf), CAPACITY))
 
 
-_SHORT = SEGMENTS.replace("trunc(value * 100)", "trunc(value)").replace(f"{CAPACITY} - offered", "100 - offered")
+SHORT = SEGMENTS.replace("trunc(value * 100)", "trunc(value)").replace(f"{CAPACITY} - offered", "100 - offered")
 
 
-@register("flush_segments", f"""WITH {_SHORT}, spread AS (
+def short_chunks(spark, sf):
+    n = audio.div(F.col("n_samples").cast("long"), 100)
+    return proxies.live_chunks(spark, sf).withColumn("n_samples", n).filter(F.col("n_samples") > 0).withColumn(
+        "samples", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_samples") - 1),
+                               lambda i: ((F.col("chunk_no") * 31 + i) % 97).cast("float")))
+
+
+@register("flush_segments", f"""WITH {SHORT}, spread AS (
   SELECT session_id, segment, chunk_no, i, row_number() OVER (PARTITION BY session_id, segment ORDER BY received_at, chunk_no, i) AS p
   FROM bounded, LATERAL (SELECT unnest(range(accepted)) AS i))
 SELECT session_id, segment, count(*) AS n_samples, CAST(sum(((chunk_no * 31 + i) % 97) * (p % 89)) AS BIGINT) AS checksum
 FROM spread GROUP BY session_id, segment""")
 def flush_segments(spark, sf):
-    n = audio.div(F.col("n_samples").cast("long"), 100)
-    chunks = proxies.live_chunks(spark, sf).withColumn("n_samples", n).filter(F.col("n_samples") > 0).withColumn(
-        "samples", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_samples") - 1),
-                               lambda i: ((F.col("chunk_no") * 31 + i) % 97).cast("float")))
-    segmented = segments.segment_on_pause(chunks, GAP_MS)
+    segmented = segments.segment_on_pause(short_chunks(spark, sf), GAP_MS)
     flushed = segments.flush_segments(segments.bounded_segments(segmented, 100))
     weighted = F.transform("samples", lambda v, i: v.cast("long") * ((i + 1) % 89))
     checksum = F.aggregate(weighted, F.lit(0).cast("long"), lambda acc, v: acc + v)
@@ -98,10 +101,13 @@ n AS (SELECT *, CAST(coalesce(sum(CASE WHEN is_end THEN 1 ELSE 0 END) OVER (PART
 SELECT connection, message_no, count(*) AS fragments, string_agg(part, '' ORDER BY seq) AS text
 FROM n GROUP BY connection, message_no HAVING bool_or(is_end)""")
 def reassemble_fragments(spark, sf, **blocks):
-    parts = proxies.table(spark, sf, "events").select(
+    return segments.reassemble_fragments(fragments(spark, sf), **blocks)
+
+
+def fragments(spark, sf):
+    return proxies.table(spark, sf, "events").select(
         F.col("user_id").alias("connection"), F.col("event_id").alias("seq"),
         F.concat("event_type", F.lit(";")).alias("part"), (F.col("event_type") == "purchase").alias("is_end"))
-    return segments.reassemble_fragments(parts, **blocks)
 
 
 _LOGS = """px_logs AS (SELECT event_id AS log_id, ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level,
@@ -112,11 +118,14 @@ _LOGS = """px_logs AS (SELECT event_id AS log_id, ts, CASE event_type WHEN 'erro
   ts + to_seconds(60 * CAST(1 + value % 20 AS INTEGER)) AS end_at FROM events WHERE event_type = 'signup')
 SELECT s.subscriber, l.log_id, l.level, l.message FROM px_logs l JOIN subs s ON l.ts >= s.start_at AND l.ts < s.end_at""")
 def log_fanout(spark, sf):
+    return segments.log_fanout(proxies.logs(spark, sf), subscriptions(spark, sf)).select("subscriber", "log_id", "level", "message")
+
+
+def subscriptions(spark, sf):
     minutes = F.rint(1 + F.col("value") % 20).cast("int")
-    subs = proxies.table(spark, sf, "events").filter("event_type = 'signup'").select(
+    return proxies.table(spark, sf, "events").filter("event_type = 'signup'").select(
         F.col("event_id").alias("subscriber"), F.col("ts").cast("timestamp").alias("start_at"), minutes.alias("m")
     ).withColumn("end_at", F.col("start_at") + F.make_dt_interval(mins=F.col("m"))).drop("m")
-    return segments.log_fanout(proxies.logs(spark, sf), subs).select("subscriber", "log_id", "level", "message")
 
 
 @register("throttle_progress", """WITH RECURSIVE p AS (SELECT user_id AS name,

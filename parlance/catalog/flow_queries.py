@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from parlance import proxies
-from parlance.catalog.conversation_queries import CONTROL, GAP_MS, SEGMENTS
+from parlance.catalog.conversation_queries import CAPACITY, CONTROL, GAP_MS, SEGMENTS, SHORT, fragments, short_chunks, subscriptions
 from parlance.catalog.registry import ORACLE, register
 from parlance.catalog.source_queries import CHUNKED, RECORDINGS, damaged
 from parlance.catalog.transcript_queries import merge_sql
@@ -13,7 +13,7 @@ from parlance.operators import conversations, transcripts
 from parlance.plans import flows
 from parlance.session import new_shared_path
 from parlance.sources import text_sources
-from parlance.streaming import live
+from parlance.streaming import keyed, live
 
 
 @register("live_session_turns", f"""WITH {SEGMENTS}, {CONTROL}, turns AS (SELECT session_id, segment, max(received_at) AS ts,
@@ -66,14 +66,14 @@ def transcribe_recordings(spark, sf):
 
         return model
 
-    return flows.transcribe_recordings(damaged(spark, sf), load, whole_up_to=0, gate=False, chunk_s=0.016, overlap_s=0.002)
+    return flows.transcribe_recordings(damaged(spark, sf), load, whole_up_to=0, gate=False, chunk_s=0.016, overlap_s=0.002).drop("confidence")
 
 
-def _stream(spark, batch, label, compute):
+def _stream(spark, batch, label, compute, once=False):
     """Write ``batch`` as files, stream them through ``compute`` into files, and return those."""
     root = new_shared_path(spark, label)
     batch.write.parquet(f"{root}/in")
-    live.drain(compute(spark.readStream.schema(batch.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/checkpoint")
+    live.drain(compute(spark.readStream.schema(batch.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/checkpoint", once)
     return spark.read.parquet(f"{root}/out")
 
 
@@ -90,20 +90,14 @@ def segment_on_pause_stream(spark, sf):
         "session_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "chunks", "offered")
 
 
-def _fragments(spark, sf):
-    return proxies.table(spark, sf, "events").select(
-        F.col("user_id").alias("connection"), F.col("event_id").alias("seq"),
-        F.concat("event_type", F.lit(";")).alias("part"), (F.col("event_type") == "purchase").alias("is_end"))
-
-
 @register("reassemble_fragments_stream", ORACLE["reassemble_fragments"])
 def reassemble_fragments_stream(spark, sf):
-    return _stream(spark, _fragments(spark, sf), "fragments", live.reassemble_fragments_stream)
+    return _stream(spark, fragments(spark, sf), "fragments", live.reassemble_fragments_stream)
 
 
 @register("reassemble_fragments_in_batches", ORACLE["reassemble_fragments"])
 def reassemble_fragments_in_batches(spark, sf):
-    parts = _fragments(spark, sf)
+    parts = fragments(spark, sf)
     root = new_shared_path(spark, "fragments")
     parts.write.parquet(f"{root}/in")
     source = spark.readStream.schema(parts.schema).parquet(f"{root}/in")
@@ -125,7 +119,57 @@ def log_stream_sink(spark, sf):
 
 @register("throttle_progress_stream", ORACLE["throttle_progress"])
 def throttle_progress_stream(spark, sf):
+    return _stream(spark, _progress(spark, sf), "progress", live.throttle_progress_stream)
+
+
+@register("throttle_progress_keyed", ORACLE["throttle_progress"])
+def throttle_progress_keyed(spark, sf):
+    return _stream(spark, _progress(spark, sf), "progress", keyed.throttle_progress, once=True)
+
+
+@register("reassemble_fragments_keyed", ORACLE["reassemble_fragments"])
+def reassemble_fragments_keyed(spark, sf):
+    return _stream(spark, fragments(spark, sf), "fragments", keyed.reassemble_fragments, once=True)
+
+
+def _progress(spark, sf):
     raw = proxies.table(spark, sf, "events").select(
         F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value").cast("int") - 3).alias("pct"))
-    numbered = conversations.number_turns(raw).select(F.col("session_id").alias("name"), F.col("turn_number").alias("seq"), "pct")
-    return _stream(spark, numbered, "progress", live.throttle_progress_stream)
+    return conversations.number_turns(raw).select(F.col("session_id").alias("name"), F.col("turn_number").alias("seq"), "pct")
+
+
+def _ahead(chunks):
+    """One chunk of another session far ahead moves the watermark past every real segment."""
+    last = chunks.agg(F.max("received_at").alias("at"))
+    others = {"session_id": F.lit(-1).cast("long"), "received_at": F.col("at") + F.make_dt_interval(days=F.lit(30)), "n_samples": F.lit(1), "chunk_no": F.lit(-1)}
+    return chunks.unionByName(last.select(*[others.get(c, F.lit(None)).cast(t).alias(c) for c, t in chunks.dtypes]))
+
+
+@register("flush_segments_stream", f"""WITH {SHORT}, firsts AS (SELECT session_id, segment, epoch_us(min(received_at)) AS first_us FROM segs WHERE n_samples > 0 GROUP BY session_id, segment),
+spread AS (SELECT session_id, segment, chunk_no, i, row_number() OVER (PARTITION BY session_id, segment ORDER BY received_at, chunk_no, i) AS p
+  FROM (SELECT *, greatest(0, least(n_samples, 100 - offered_before)) AS taken FROM segs), LATERAL (SELECT unnest(range(taken)) AS i))
+SELECT s.session_id, f.first_us, count(*) AS n_samples, CAST(sum(((chunk_no * 31 + i) % 97) * (p % 89)) AS BIGINT) AS checksum
+FROM spread s JOIN firsts f ON f.session_id = s.session_id AND f.segment = s.segment GROUP BY s.session_id, f.first_us""")
+def flush_segments_stream(spark, sf):
+    chunks = _ahead(short_chunks(spark, sf))
+    out = _stream(spark, chunks, "segments", lambda s: keyed.flush_segments(s, GAP_MS, 100)).filter("session_id >= 0 AND samples IS NOT NULL")
+    weighted = F.transform("samples", lambda v, i: v.cast("long") * ((i + 1) % 89))
+    checksum = F.aggregate(weighted, F.lit(0).cast("long"), lambda acc, v: acc + v)
+    return out.select("session_id", F.col("segment_us").alias("first_us"), F.size("samples").cast("long").alias("n_samples"), checksum.alias("checksum"))
+
+
+@register("buffer_status_stream", ORACLE["buffer_status"])
+def buffer_status_stream(spark, sf):
+    chunks = _ahead(proxies.live_chunks(spark, sf).select("session_id", "received_at", "chunk_no", "n_samples", F.lit(None).cast("array<float>").alias("samples")))
+    out = _stream(spark, chunks, "status", lambda s: keyed.flush_segments(s, GAP_MS, CAPACITY)).filter("session_id >= 0")
+    return out.select("session_id", "chunk_no", "held", F.round("fill_percent", 6).alias("fill_percent"))
+
+
+@register("log_fanout_stream", ORACLE["log_fanout"])
+def log_fanout_stream(spark, sf):
+    """Entries and subscriptions as two streams."""
+    subs, root = subscriptions(spark, sf), new_shared_path(spark, "subscriptions")
+    subs.write.parquet(f"{root}/in")
+    arriving = spark.readStream.schema(subs.schema).parquet(f"{root}/in")
+    out = _stream(spark, proxies.logs(spark, sf), "fanout", lambda logs: keyed.log_fanout(logs, arriving))
+    return out.select("subscriber", "log_id", "level", "message")

@@ -12,7 +12,7 @@ from parlance.functions import audio
 from parlance.operators import conversations
 from parlance.ordered import sequence_block
 from parlance.session import new_shared_path
-from parlance.sources import recordings, sessions, text_sources
+from parlance.sources import ranges, recordings, sessions, text_sources
 
 RECORDINGS = f"""{SAMPLES}, recs AS (SELECT clip_id AS session_id, CAST(idx // 8192 AS INTEGER) + 1 AS turn_number, idx % 8192 AS pos,
   trunc(greatest(least(amp, 1.0), -1.0) * 32767.0) / 32768.0 AS amp FROM px_samples),
@@ -89,6 +89,16 @@ def decode_pcm(spark, sf):
     return _exploded(recordings.decode_pcm(recordings.wav_header(_encoded(spark, sf)), chunk_s=0.016, overlap_s=0.002))
 
 
+@register("decode_ranges", f"""WITH {RECORDINGS}, {CHUNKED} SELECT CAST(p.session_id AS VARCHAR) AS session_id, p.turn_number, chunk_idx, start_frame, end_frame,
+  r.pos - start_frame AS pos, round(r.amp, 5) AS amp FROM planned p JOIN recs r ON r.session_id = p.session_id AND r.turn_number = p.turn_number
+  AND r.pos >= start_frame AND r.pos < end_frame""")
+def decode_ranges(spark, sf):
+    """The files of ``scan_recordings``, each read in pieces of a few chunks."""
+    root = new_shared_path(spark, "recordings")
+    recordings.export_wav(_encoded(spark, sf), root)
+    return _exploded(ranges.read_chunks(spark, root, chunk_s=0.016, overlap_s=0.002, split_bytes=1_000))
+
+
 @register("decode_pcm_resampled", f"""WITH {RECORDINGS.replace("rec_list AS (SELECT session_id, turn_number, count(*) AS n", "rec_list AS (SELECT session_id, turn_number, CAST(trunc(count(*) / (44100.0 / 16000)) AS BIGINT) AS n")}, {CHUNKED},
 outs AS (SELECT *, unnest(range(start_frame, end_frame)) AS i FROM planned), placed AS (SELECT *, i * (CAST(44100 AS DOUBLE) / 16000) AS x FROM outs)
 SELECT p.session_id, p.turn_number, chunk_idx, start_frame, end_frame, i - start_frame AS pos,
