@@ -9,7 +9,6 @@ special tokens in a text being ordinary text.
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import os
 
@@ -60,15 +59,17 @@ class TextEncoder:
         split = [(t.lower() if self.lower and t.isascii() else t).split(" ") for t in texts]
         heads = [p.pop(0) for p in split]
         self._learn_heads(set(heads).difference(self.heads))
-        missing: set[str] = set()
-        known = self.pieces.__contains__
-        for pieces in split:
-            missing.update(itertools.filterfalse(known, pieces))
+        # One look-up a piece: what isn't found (few, once the cache is warm) is learned and put in its place.
+        looked = [list(map(self.pieces.get, pieces)) for pieces in split]
+        open_ = [i for i, found in enumerate(looked) if None in found]
+        missing = {p for i in open_ for p, ids in zip(split[i], looked[i]) if ids is None and p not in self.pieces}
         self._learn_tails({p for p in missing if p[-1:] in TAILS and p[-2:-1].isalpha()}, missing)
-        out, ids_of = [], self.pieces.__getitem__
-        for text, head, pieces in zip(texts, heads, split):
+        for i in open_:
+            looked[i] = [self.pieces[p] if ids is None else ids for p, ids in zip(split[i], looked[i])]
+        out = []
+        for text, head, ids in zip(texts, heads, looked):
             try:
-                out.append(self.heads[head] + b"".join(map(ids_of, pieces)))
+                out.append(self.heads[head] + b"".join(ids))
             except TypeError:  # a piece that can't be taken alone
                 out.append(self._whole(text))
         return out

@@ -125,9 +125,9 @@ def test_token_files(spark):
     row = files.orderBy("file_no").first()
     with pa.OSFile(row.path.removeprefix("file:")) as source:
         file = tokenfiles.TokenFile(source)
-        assert len(file) == len(row["keys"])
+        assert len(file) == len(file.keys) == row["docs"]
         for i in (len(file) - 1, 0, len(file) // 2):
-            assert file.document(i).tolist() == want[row["keys"][i]].tolist()
+            assert file.document(i).tolist() == want[file.keys[i].as_py()].tolist()
 
 
 def test_token_file_without_and_with_other_dictionary():
@@ -141,10 +141,11 @@ def test_token_file_without_and_with_other_dictionary():
         writer = tokenfiles.Writer(out, own)
         for x in ids:
             writer.add(x)
-        writer.close()
+        writer.close(pa.array(["a", None, "c"]))
         source = pa.BufferReader(out.getvalue())
         file = tokenfiles.TokenFile(source, hashlib.sha256(own).hexdigest())
         assert [x.tolist() for x in file] == [list(range(n)) for n in (0, 1, 5)]
+        assert file.keys.to_pylist() == ["a", None, "c"]
         with pytest.raises(ValueError):
             tokenfiles.TokenFile(pa.BufferReader(out.getvalue()), hashlib.sha256(b"other").hexdigest())
     broken = bytearray(out.getvalue())
