@@ -18,6 +18,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +69,27 @@ def _numbers(rows: list[list[float]]) -> Column:
 
 
 def _places(own: Column, names: list[str]) -> Column:
-    """Positions in ``names`` of the features a document has."""
-    vocabulary = F.split(F.lit(" ".join(names)), " ")
-    return let(vocabulary, lambda all: F.transform(F.array_intersect(own, all), lambda f: F.array_position(all, f).cast("int") - 1))
+    """Positions in ``names`` of the features a document has, in the order of ``own``.
+
+    A feature's hash leads to one slot of a constant table, and the slot to the only name that may be there: two array reads and
+    a comparison a word. The table's size is chosen so that no two names share a slot.
+    """
+    if not names:
+        return F.array().cast("array<int>")
+    hashes = np.array([xxhash.xxh64(n.encode(), seed=42).intdigest() for n in names], np.uint64).view(np.int64)  # as Spark's xxhash64
+    slots = max(1 << 16, len(names) ** 2 // 16)
+    while len(np.unique(hashes % slots)) < len(names):
+        slots += 1
+    table = np.zeros(slots, np.int64)
+    table[hashes % slots] = np.arange(1, len(names) + 1)
+    # Both are folded into one constant each.
+    place_of = F.split(F.lit(" ".join(map(str, table))), " ").cast("array<int>")
+    name_of = F.split(F.lit(" ".join(["", *names])), " ")
+
+    def place(feature: Column) -> Column:
+        return F.get(place_of, F.pmod(F.xxhash64(feature), F.lit(slots)).cast("int"))
+
+    return F.transform(F.filter(own, lambda f: F.get(name_of, place(f)) == f), lambda f: place(f) - 1)
 
 
 def _scores(prior: list[float], weights: list[list[float]], places: Column) -> Column:

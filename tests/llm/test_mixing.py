@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -152,3 +153,32 @@ def test_no_python_in_the_plan(spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     for df in (mixing.mix_to_targets(docs, labels, LABELS, {})[0], mixing.mixed(docs, labels, LABELS, {})):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
+
+
+def plain_features(text):
+    text = text or ""
+    words = [w for w in re.split(mixing.BETWEEN_WORDS, text.lower()) if w]
+    distinct = list(dict.fromkeys(words))
+    signs = len(text) - len(re.sub(mixing.SIGNS, "", text))
+    shares = (len(distinct) * 10 // len(words) if words else -1, signs * 25 // len(text) if text else -1, int(math.log2(len(words) + 1)))
+    return [*distinct, *(f"~{k}{v}" for k, v in zip(("distinct", "signs", "length"), shares))]
+
+
+def test_features_and_posteriors_against_plain_versions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "É é E-e %%%"), (-4, "same " * 3_000), (-5, "~signs1 ~length0")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(odd)
+    counts = Counter(f for r in rows.collect() for f in plain_features(r.text))
+    names = [f for f, _ in counts.most_common(700)] + ["never", "~never"]
+    rng = random.Random(8)
+    model = mixing.Classifier(["a", "b", "c"], [-0.1, -2.0, -3.0], {f: [rng.uniform(-1, 1) for _ in range(3)] for f in names})
+    at = {f: i for i, f in enumerate(names)}
+    got = rows.select("text", mixing._places(mixing.features(F.col("text")), names).alias("at"), model.posteriors(F.col("text")).alias("p")).collect()
+    for r in got:
+        own = [f for f in plain_features(r.text) if f in at]
+        assert sorted(r["at"]) == sorted(at[f] for f in own)
+        scores = [p + sum(model.weights[f][k] for f in own) for k, p in enumerate(model.prior)]
+        top = max(scores)
+        shares = [math.exp(s - top) for s in scores]
+        assert all(abs(x - y / sum(shares)) < 1e-9 for x, y in zip(r.p, shares))
+    assert spark.range(1).select(mixing._places(F.array(F.lit("x")), []).alias("n")).first().n == []
