@@ -322,7 +322,8 @@ def expire_sessions(spark, sf):
 
 @register("latency_report", """SELECT event_type, count(*) AS calls, round(sum(value), 4) AS audio_s, round(sum(w), 4) AS wall_s,
   round(sum(w) / nullif(sum(value), 0), 6) AS real_time_factor, round(sum(value) / nullif(sum(w), 0), 6) AS throughput, round(avg(w), 6) AS mean_wall_s,
-  round(stddev_pop(w), 6) AS stddev_wall_s, round(sum(w) / nullif(sum(value) / 60, 0), 6) AS wall_s_per_audio_minute
+  round(stddev_pop(w), 6) AS stddev_wall_s, round(sum(w) / nullif(sum(value) / 60, 0), 6) AS wall_s_per_audio_minute,
+  round(quantile_disc(w, 0.5), 6) AS p50_wall_s, round(quantile_disc(w, 0.95), 6) AS p95_wall_s, round(quantile_disc(w, 0.99), 6) AS p99_wall_s
 FROM (SELECT event_type, CASE event_type WHEN 'error' THEN 0.0 ELSE value END AS value, CASE event_type WHEN 'view' THEN 0.0 ELSE value * 0.3 + 1 END AS w FROM events) GROUP BY event_type""")
 def latency_report(spark, sf):
     calls = proxies.table(spark, sf, "events").select(

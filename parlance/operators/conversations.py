@@ -217,14 +217,21 @@ def expire_sessions(sessions: DataFrame, max_age_days: int, now: Column) -> Data
     return sessions.withColumn("expired", F.col("created_at") < cutoff)
 
 
-def latency_report(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Real-time factor, throughput and spread of processing times. ``calls(audio_s, wall_s, ...)``. Ratios of a group
-    without audio or without processing time are NULL."""
+def latency_report(calls: DataFrame, by: Sequence[str] = (), percentiles: Sequence[int] = (50, 95, 99), accuracy: int = 10_000) -> DataFrame:
+    """Real-time factor, throughput, spread and percentiles of processing times. ``calls(audio_s, wall_s, ...)``. Ratios of a
+    group without audio or without processing time are NULL.
+
+    ``p50_wall_s`` and so on are values of the group from a mergeable sketch of bounded size: the rank of such a value is wrong by
+    1 / ``accuracy`` of the group's rows at most, so it is exact in groups of fewer rows.
+    """
+    at = F.percentile_approx("wall_s", [p / 100 for p in percentiles], accuracy)
     report = [
         F.count(F.lit(1)).alias("calls"), F.sum("audio_s").alias("audio_s"), F.sum("wall_s").alias("wall_s"),
         F.try_divide(F.sum("wall_s"), F.sum("audio_s")).alias("real_time_factor"),
         F.try_divide(F.sum("audio_s"), F.sum("wall_s")).alias("throughput"),
         F.avg("wall_s").alias("mean_wall_s"), F.stddev_pop("wall_s").alias("stddev_wall_s"),
         F.try_divide(F.sum("wall_s"), F.sum("audio_s") / 60).alias("wall_s_per_audio_minute"),
+        *([at.alias("__at")] if percentiles else []),
     ]
-    return calls.groupBy(*by).agg(*report) if by else calls.agg(*report)
+    out = calls.groupBy(*by).agg(*report) if by else calls.agg(*report)
+    return out.withColumns({f"p{p}_wall_s": F.get("__at", F.lit(i)) for i, p in enumerate(percentiles)}).drop("__at") if percentiles else out

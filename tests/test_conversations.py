@@ -146,3 +146,18 @@ def test_latency(spark):
     r = c.latency_report(df).first()
     assert (r.calls, r.real_time_factor, r.throughput, r.mean_wall_s, r.stddev_wall_s) == (2, .1, 10.0, 2.0, 1.0)
     assert r.wall_s_per_audio_minute == pytest.approx(6.0)
+
+
+def test_latency_percentiles(spark):
+    """Exact where a group is smaller than the sketch, and within its stated error of the rank beyond."""
+    from parlance.operators import conversations
+
+    calls = spark.range(40_000).selectExpr("1.0D AS audio_s", "CAST((id * 7919) % 40000 AS DOUBLE) AS wall_s", "id < 100 AS few")
+    rows = {r.few: r for r in conversations.latency_report(calls, ["few"], accuracy=500).collect()}
+    small = sorted((i * 7919) % 40_000 for i in range(100))
+    assert (rows[True].p50_wall_s, rows[True].p95_wall_s, rows[True].p99_wall_s) == (small[49], small[94], small[98])
+    large = sorted((i * 7919) % 40_000 for i in range(100, 40_000))
+    for p in (50, 95, 99):
+        rank = large.index(rows[False][f"p{p}_wall_s"]) + 1
+        assert abs(rank - len(large) * p / 100) <= len(large) / 500 + 1
+    assert conversations.latency_report(calls, percentiles=()).columns == [c for c in rows[True].__fields__ if c != "few" and not c.startswith("p")]
