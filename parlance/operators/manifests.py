@@ -1,8 +1,10 @@
 """Audit of required files (a manifest of artifacts) against a file listing.
 
 ``manifest``: artifact_id, dir, primary_file, alternates, additional_files, include_patterns (arrays) and what the
-caller wants to keep. ``files``: dir, rel_path. The listing is the large side; a directory may hold most of it, so
-joins on ``dir`` alone are salted, all others are on ``(dir, path)``.
+caller wants to keep. ``files``: dir, rel_path; rows without either are ignored. The listing is the large side; a
+directory may hold most of it and be shared by many artifacts, so an artifact never meets all files of its directory:
+named files are found by equality, patterns by equality with the suffixes of each path (one per pattern length in use in
+its directory, so at most as many as the path has characters).
 """
 
 from __future__ import annotations
@@ -20,14 +22,12 @@ _PATTERN_RANK = 1_000_000
 _FALLBACK_RANK = 2_000_000
 
 
-def _listing(names: DataFrame) -> DataFrame:
-    return names.select("dir", "rel_path").distinct()
-
-
 def explode_manifest(manifest: DataFrame) -> DataFrame:
-    """``(artifact_id, dir, kind, priority, file)``: the primary file, then alternates, then additional files."""
+    """``(artifact_id, dir, kind, priority, file)``: the primary file, then alternates, then additional files. NULL arrays
+    are empty."""
     def part(name: str, kind: str, first: int) -> Column:
-        return F.transform(name, lambda f, i: F.struct(
+        listed = F.coalesce(F.col(name), F.array().cast("array<string>"))
+        return F.transform(listed, lambda f, i: F.struct(
             F.lit(kind).alias("kind"), (i + first).cast("int").alias("priority"), f.alias("file")))
 
     primary = F.array(F.struct(F.lit("primary").alias("kind"), F.lit(0).alias("priority"), F.col("primary_file").alias("file")))
@@ -38,22 +38,51 @@ def explode_manifest(manifest: DataFrame) -> DataFrame:
     return manifest.select("artifact_id", "dir", F.explode(named).alias("e")).select("artifact_id", "dir", "e.*")
 
 
-def _ends_with(path: Column, suffix: Column, ignore_case: bool = True) -> Column:
-    """Suffix test; blank patterns match nothing."""
-    hit = F.endswith(F.lower(path), F.lower(suffix)) if ignore_case else F.endswith(path, suffix)
-    return (F.trim(suffix) != "") & hit
-
-
-def _rank(path: Column) -> Column:
-    """Position of a file among the ways to satisfy an artifact; NULL when it does not."""
-    alternate = F.array_position("alternates", path).cast("int")
-    pattern = F.get(F.filter(
-        F.transform("include_patterns", lambda p, i: F.when(_ends_with(path, p), i)), lambda i: i.isNotNull()), F.lit(0))
-    ranked = F.when((path == F.col("primary_file")) & (F.trim("primary_file") != ""), F.lit(0))
-    ranked = ranked.when(alternate > 0, alternate).when(pattern.isNotNull(), pattern + _PATTERN_RANK)
-    for i, suffix in enumerate(FALLBACK_SUFFIXES):
-        ranked = ranked.when(F.endswith(path, F.lit(suffix)), F.lit(_FALLBACK_RANK + i))
-    return ranked
+def _requests(manifest: DataFrame, named: bool, fallbacks: Sequence[str] = ()) -> DataFrame:
+    """``(artifact_id, dir, way, text, rank)``: what each artifact looks for. ``way``: ``file`` (the path is the text), ``fold``
+    (it ends with it, ignoring case) or ``end`` (it ends with it). Blank patterns look for nothing; additional files have
+    no rank, since they never stand for the artifact."""
+    def request(way: str, text: Column, rank: Column) -> Column:
+        return F.struct(F.lit(way).alias("way"), text.alias("text"), rank.cast("int").alias("rank"))
+
+    def each(name: str, make) -> Column:
+        return F.coalesce(F.transform(name, make), F.array().cast("array<struct<way: string, text: string, rank: int>>"))
+
+    asked = [F.filter(each("include_patterns", lambda p, i: request("fold", F.lower(p), i + _PATTERN_RANK)), lambda r: F.trim(r["text"]) != "")]
+    if named:
+        primary = F.array(request("file", F.col("primary_file"), F.lit(0)))
+        asked += [F.filter(primary, lambda r: F.trim(r["text"]) != ""), each("alternates", lambda f, i: request("file", f, i + 1)),
+                  each("additional_files", lambda f, i: request("file", f, F.lit(None)))]
+    if fallbacks:
+        asked.append(F.array(*[request("end", F.lit(x), F.lit(_FALLBACK_RANK + i)) for i, x in enumerate(fallbacks)]))
+    return manifest.select("artifact_id", "dir", F.explode(F.concat(*asked)).alias("r")).select("artifact_id", "dir", "r.*")
+
+
+def _path_keys(files: DataFrame, requests: DataFrame, named: bool) -> DataFrame:
+    """``(dir, way, text, rel_path)``: every text by which a path can be asked for in its directory - itself, and its
+    suffixes of the lengths in use there."""
+    ways = requests.groupBy("dir").agg(F.array_compact(F.collect_set(
+        F.when(F.col("way") != "file", F.struct("way", F.length("text").alias("length"))))).alias("ways"))
+    path = F.col("rel_path")
+    folded = F.lower(path)
+    keys = F.transform(
+        F.filter("ways", lambda w: F.length(F.when(w["way"] == "fold", folded).otherwise(path)) >= w["length"]),
+        lambda w: F.struct(w["way"].alias("way"), F.right(F.when(w["way"] == "fold", folded).otherwise(path), w["length"]).alias("text")))
+    if named:
+        keys = F.concat(F.array(F.struct(F.lit("file").alias("way"), path.alias("text"))), keys)
+    listing = files.select("dir", "rel_path").filter("dir IS NOT NULL AND rel_path IS NOT NULL")
+    return salted_join(listing, ways, ["dir"], path).select("dir", F.explode(keys).alias("k"), "rel_path").select("dir", "k.*", "rel_path")
+
+
+def _resolved(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """``artifact_id, resolved_file, rule, missing`` of every artifact. The listing is read once and becomes an index of the least
+    path per key, added up before its shuffle; requests are joined with that."""
+    requests = _requests(manifest, True, FALLBACK_SUFFIXES)
+    index = _path_keys(files, requests, True).groupBy("dir", "way", "text").agg(F.min("rel_path").alias("path"))
+    found = requests.join(index, ["dir", "way", "text"], "left").groupBy("artifact_id").agg(
+        F.min(F.when(F.col("rank").isNotNull() & F.col("path").isNotNull(), F.struct("rank", "path"))).alias("c"),
+        F.sort_array(F.collect_set(F.when(F.col("rank").isNull() & F.col("path").isNull(), F.col("text")))).alias("missing"))
+    return found.select("artifact_id", F.col("c.path").alias("resolved_file"), _rule(F.col("c.rank")).alias("rule"), "missing")
 
 
 def _rule(rank: Column) -> Column:
@@ -66,35 +95,21 @@ def _rule(rank: Column) -> Column:
 def resolve_primary(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """The file that stands for each artifact: primary, alternates, include patterns, then known extensions; the
     first path in order where several match one pattern. NULL when nothing is there."""
-    wanted = manifest.select("artifact_id", "dir", "primary_file", "alternates", "include_patterns")
-    pairs = salted_join(_listing(files), wanted, ["dir"], F.col("rel_path"))
-    ranked = pairs.select("artifact_id", F.struct(_rank(F.col("rel_path")).alias("rank"), F.col("rel_path").alias("path")).alias("c"))
-    best = ranked.filter(F.col("c.rank").isNotNull()).groupBy("artifact_id").agg(F.min("c").alias("c"))
-    return manifest.select("artifact_id").join(best, "artifact_id", "left").select(
-        "artifact_id", F.col("c.path").alias("resolved_file"), _rule(F.col("c.rank")).alias("rule"))
+    return _resolved(manifest, files).drop("missing")
 
 
 def match_includes(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Files of each artifact's directory that end with one of its patterns, ignoring case; paths that differ only in
     case count once."""
-    wanted = manifest.select("artifact_id", "dir", "include_patterns")
-    pairs = salted_join(_listing(files), wanted, ["dir"], F.col("rel_path"))
-    hit = pairs.filter(F.exists("include_patterns", lambda p: _ends_with(F.col("rel_path"), p)))
+    requests = _requests(manifest, False).select("artifact_id", "dir", "way", "text").distinct()
+    hit = salted_join(_path_keys(files, requests, False), requests, ["dir", "way", "text"], F.col("rel_path"))
     return hit.groupBy("artifact_id", F.lower("rel_path").alias("__folded")).agg(F.min("rel_path").alias("file")).drop("__folded")
 
 
 def audit_completeness(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Per artifact: what resolves it, which additional files are missing, and whether it is complete (resolved and
     nothing missing)."""
-    listing = _listing(files).withColumnRenamed("rel_path", "file")
-    missing = (
-        manifest.select("artifact_id", "dir", F.explode("additional_files").alias("file"))
-        .join(listing, ["dir", "file"], "left_anti")
-        .groupBy("artifact_id").agg(F.sort_array(F.collect_set("file")).alias("missing"))
-    )
-    found = resolve_primary(manifest, files).join(missing, "artifact_id", "left")
-    none = F.array().cast("array<string>")
-    return found.withColumn("missing", F.coalesce("missing", none)).withColumn(
+    return _resolved(manifest, files).withColumn(
         "complete", F.col("resolved_file").isNotNull() & (F.size("missing") == 0))
 
 
@@ -142,11 +157,14 @@ def delete_plan(manifest: DataFrame, files: DataFrame) -> DataFrame:
     ``step`` orders the work inside a directory tree: files first, then directories, the longest path first; the
     artifact's own directory is the empty path.
     """
-    listing = _listing(files)
     named = F.filter(F.concat(F.array("primary_file"), F.col("additional_files")), lambda f: F.coalesce(f, F.lit("")) != "")
-    targets = manifest.select("dir", F.explode(named).alias("rel_path")).distinct().withColumn("doomed", F.lit(True))
-    touched = salted_join(listing, manifest.select("dir").distinct(), ["dir"], F.col("rel_path"))
-    marked = touched.join(targets, ["dir", "rel_path"], "left").withColumn("doomed", F.coalesce("doomed", F.lit(False)))
+    targets = manifest.select("dir", F.explode(named).alias("rel_path"))
+    # The listing and the doomed names become one row per path in one shuffle.
+    rows = files.select("dir", "rel_path").withColumns({"listed": F.lit(True), "doomed": F.lit(False)}).unionByName(
+        targets.withColumns({"listed": F.lit(False), "doomed": F.lit(True)}))
+    paths = rows.filter("dir IS NOT NULL AND rel_path IS NOT NULL").groupBy("dir", "rel_path").agg(
+        F.max("listed").alias("listed"), F.max("doomed").alias("doomed")).filter("listed")
+    marked = salted_join(paths, manifest.select("dir").distinct(), ["dir"], F.col("rel_path"))
     parts = F.split("rel_path", "/")
     ancestors = F.transform(
         F.sequence(F.lit(0), F.size(parts) - 1), lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))

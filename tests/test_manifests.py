@@ -72,3 +72,76 @@ def test_delete_plan(spark, manifest, rows):
     ordered = [(r.dir, r.kind, r.path) for r in plan.orderBy("dir", "step", "path_length", "path").collect()]
     assert ordered == [("four", "file", "x.bin"), ("one", "file", "net/aaa.onnx"), ("one", "file", "net/bbb.onnx"),
                        ("one", "file", "net/bbb.onnx_extra"), ("one", "directory", ""), ("one", "directory", "net")]
+
+
+def plain_resolution(manifest, files):
+    """Every artifact against every file of its directory, by the rules as they are worded."""
+    out = {}
+    for a in manifest:
+        here = sorted({p for d, p in files if d == a.dir and p is not None}, key=lambda p: p.encode())
+        ways = [("primary", lambda p: p == a.primary_file and p.strip())] + [("alternate", lambda p, f=f: p == f) for f in a.alternates]
+        ways += [("pattern", lambda p, f=f: f and f.strip() and p.lower().endswith(f.lower())) for f in a.include_patterns]
+        ways += [("fallback", lambda p, f=f: p.endswith(f)) for f in m.FALLBACK_SUFFIXES]
+        found = next(((p, rule) for rule, fits in ways for p in here if fits(p)), (None, None))
+        matched = {}
+        for p in here:
+            if any(f and f.strip() and p.lower().endswith(f.lower()) for f in a.include_patterns):
+                matched.setdefault(p.lower(), p)
+        out[a.artifact_id] = (*found, sorted({f for f in a.additional_files if f not in here}), sorted(matched.values()))
+    return out
+
+
+def test_shared_directory_against_every_pair(spark, rows):
+    import random
+    draw = random.Random(5)
+    ends = [".bin", ".BIN", "b.bin", ".onnx", ".ONNX", ".safetensors", ".Ünï", "É", "", " ", None, "/f3.bin", "a-very-long-name-that-no-path-can-have.bin"]
+    files = [(d, f"{draw.choice('aB')}/f{draw.randrange(9)}{draw.choice(ends[:8])}") for d in ("one", "two") for _ in range(40)]
+    files += [("one", None), (None, "a/f1.bin"), ("two", "É"), ("two", "")] + files[:5]
+    paths = [p for _, p in files if p]
+    artifacts = [(i, "t", "n", "r", draw.choice([*paths, "", "none"]) if i % 3 else "none", 1, draw.choice(["one", "two", "empty"]), True, draw.choices([*paths, "none"], k=2),
+                  draw.choices([*paths, "none"], k=i % 2), draw.choices(ends, k=draw.randrange(4)), True) for i in range(60)]
+    manifest = spark.createDataFrame(artifacts, SCHEMA)
+    listed = listing(spark, *files)
+    want = plain_resolution(manifest.collect(), files)
+    audit = {r.artifact_id: r for r in m.audit_completeness(manifest, listed).collect()}
+    assert {i: (r.resolved_file, r.rule, r.missing) for i, r in audit.items()} == {i: w[:3] for i, w in want.items()}
+    assert {r.rule for r in audit.values()} == {"primary", "alternate", "pattern", "fallback", None}
+    got = {i: [] for i in want}
+    for r in m.match_includes(manifest, listed).collect():
+        got[r.artifact_id].append(r.file)
+    assert {i: sorted(v) for i, v in got.items()} == {i: w[3] for i, w in want.items()}
+
+
+def test_null_arrays(spark, rows):
+    manifest = spark.createDataFrame([(i, "d", p, None, None, None) for i, p in ((1, "x.bin"), (2, None))],
+                                     "artifact_id int, dir string, primary_file string, alternates array<string>, additional_files array<string>, include_patterns array<string>")
+    files = listing(spark, ("d", "x.bin"), ("d", "y.onnx"))
+    assert rows(m.audit_completeness(manifest, files)) == [(1, "x.bin", "primary", [], True), (2, "y.onnx", "fallback", [], True)]
+    assert rows(m.match_includes(manifest, files)) == []
+
+
+def test_no_artifact_meets_a_whole_directory(spark, tmp_path):
+    """1,000 artifacts share a directory of 3,000 files: no join yields more rows than the files have suffixes in use."""
+    files = spark.range(3_000).selectExpr("'all' AS dir", "concat('f', id, '.bin') AS rel_path")
+    files.write.parquet(str(tmp_path / "files"))
+    manifest = spark.range(1_000).selectExpr(
+        "int(id) AS artifact_id", "'all' AS dir", "concat('f', id * 5, '.bin') AS primary_file", "array() AS alternates", "array() AS additional_files",
+        "array(concat(id % 10, '.BIN')) AS include_patterns")
+    manifest = manifest.selectExpr("artifact_id", "dir", "primary_file", "CAST(alternates AS array<string>) AS alternates",
+                                   "CAST(additional_files AS array<string>) AS additional_files", "include_patterns")
+    audit = m.audit_completeness(manifest, spark.read.parquet(str(tmp_path / "files")))
+    assert {(r.rule, r["count"]) for r in audit.groupBy("rule").count().collect()} == {("primary", 600), ("pattern", 400)}
+    audit.collect()
+    plan = audit._jdf.queryExecution().executedPlan()
+    rows, nodes = [], [plan]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        if "Join" in name:
+            rows.append(node.metrics().get("numOutputRows").get().value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert rows and max(rows) <= 3 * 3_000
