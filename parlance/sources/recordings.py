@@ -13,6 +13,7 @@ from pyspark.sql import functions as F, types as T
 from parlance import schemas
 from parlance.functions import audio
 from parlance.operators.chunks import chunk_frames
+from parlance.sources.sinks import write_files
 
 # Layout of the canonical 44-byte header and of recording paths.
 CANONICAL_BYTES = 44
@@ -217,26 +218,8 @@ def encode_wav(df: DataFrame, rate: int = audio.SAMPLE_RATE, samples: str = "sam
     return df.withColumn("content", encode.asNondeterministic()(F.col(samples))).drop(samples)
 
 
-def export_wav(df: DataFrame, root: str) -> None:
-    """Write ``content`` to ``root/session_id/turn_NNN_role.wav``, one file per row, from the executors.
-
-    A file is written under a name of the attempt and moved into place, so a repeated task leaves whole files only.
-    """
-    named = df.select("session_id", "turn_number", "role", "content")
-
-    def write(rows) -> None:
-        import uuid
-
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(root)
-        for row in rows:
-            folder = f"{base}/{row.session_id}"
-            system.create_dir(folder, recursive=True)
-            target = f"{folder}/turn_{row.turn_number:03d}_{row.role}.wav"
-            attempt = f"{target}.{uuid.uuid4().hex}.part"
-            with system.open_output_stream(attempt) as out:
-                out.write(bytes(row.content))
-            system.move(attempt, target)
-
-    named.foreachPartition(write)
+def export_wav(df: DataFrame, root: str) -> DataFrame:
+    """Write ``content`` to ``root/session_id/turn_NNN_role.wav``, one file per row, from the executors; all files appear
+    once the job has succeeded, or none. Returns the manifest of the write (``path``, ``bytes``)."""
+    name = F.format_string("%s/turn_%03d_%s.wav", F.col("session_id").cast("string"), "turn_number", "role")
+    return write_files(df.select(name.alias("path"), "content"), root)
