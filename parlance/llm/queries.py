@@ -57,12 +57,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-@register("op4_line_dedup", f"""WITH l AS (SELECT doc_id, unnest(t) AS line, unnest(range(len(t))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)),
+@register("op4_line_dedup", f"""WITH l AS (SELECT doc_id, r, unnest(t) AS line, unnest(range(len(t))) AS i
+  FROM (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)),
 k AS (SELECT *, {_lower(f"trim(line, {_SPACES})")} AS key FROM l),
-common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id""")
+FROM k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id, r""")
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lines.drop_common_lines(docs, min_docs=10, min_chars=1).select(
@@ -113,7 +114,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = head THEN 're
 def op1_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf, "pages"), min_revisit_bytes=0)
     records = warc.read_archives(archives)
-    return records.select(warc.key_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+    # A record that can't be read back is no row without a page, but a failure.
+    whole = F.when(F.col("error").isNull(), warc.key_of("record_id")).otherwise(F.raise_error(F.concat_ws(": ", "archive", F.col("offset").cast("string"), "error")))
+    return records.select(whole.alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                           warc.key_of("refers_to").alias("refers_to"))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.base import column, new_shared_file, new_shared_path, open_shared, parts_of, written
+from parlance.llm.hot import join_keyed
 
 FRAME = b"\x28\xb5\x2f\xfd"
 DICTIONARY_FRAME = 0x184D2A5D
@@ -98,8 +99,8 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), text.alias("html")).withColumns(
         {"sha": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
     groups = rows.filter(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.max("key").alias("head"), F.count("*").alias("n"))
-    heads = groups.filter("n > 1").select("sha", "head")
-    joined = rows.join(heads, "sha", "left")
+    # Equal payloads may be a third of all rows: those of a frequent one are dealt to many tasks by key and url.
+    joined = join_keyed(rows, written(groups.filter("n > 1"), "payloads"), "sha", "n", [F.col("key"), F.col("url")], "left")
     other = F.col("head").isNotNull() & ~F.col("key").eqNullSafe(F.col("head"))
     joined = joined.select("key", "url", "sha", "size", F.when(other, F.col("head")).alias("refers_to"),
                            F.when(other, F.lit(None)).otherwise(F.col("html")).alias("html"))

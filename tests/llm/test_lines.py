@@ -2,10 +2,12 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from parlance.llm import lines
+import __spark_entry__ as contract
+from parlance.llm import lines, queries
 
 
 def key(line):
@@ -72,3 +74,15 @@ def test_many_shards(spark):
     assert shards == 15
     hi, lo = lines._hashes([f"line {i}".encode() for i in range(302)])
     assert lines.counts_of(folder, shards, hi, lo).tolist() == [0, *[2] * 299, 0, 0]
+
+
+def test_repeated_ids_as_the_sql_has_them(spark, tmp_path):
+    """Rows of one id are documents of their own, in the operator and in its SQL."""
+    rows = [(1, "a\nb")] * 12 + [(2, "a\nc"), (2, None), (None, "b\nd"), (None, "b\nd")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op4_line_dedup(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = contract.oracle_sql()["op4_line_dedup"]
+    assert got == sorted(con.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({sql})").fetchall(), key=repr)
+    assert len(got) == 16 and sum(r[2] for r in got) == 12 * 2 + 1 + 2

@@ -3,9 +3,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from parlance.llm import mixing
+from parlance.llm import mixing, queries
 
 LABELS = ["quality", "toxic"]
 
@@ -182,3 +185,96 @@ def test_features_and_posteriors_against_plain_versions(spark):
         shares = [math.exp(s - top) for s in scores]
         assert all(abs(x - y / sum(shares)) < 1e-9 for x, y in zip(r.p, shares))
     assert spark.range(1).select(mixing._places(F.array(F.lit("x")), []).alias("n")).first().n == []
+
+
+def plain_classifier(texts, labels):
+    """Domains, features, weights and prior, from all labelled rows, with a matrix of documents by features."""
+    names = {i: f"quality={q},toxic={t}" for i, q, t in labels if q is not None and t is not None}
+    tally = Counter(names.values())
+    domains = sorted(tally)
+    prior = np.log([tally[d] / len(names) for d in domains])
+    once = sorted({(texts[i] or "", d) for i, d in names.items() if i in texts})
+    own = [set(plain_features(t)) for t, _ in once]
+    right = np.array([domains.index(d) for _, d in once])
+    sizes = np.bincount(right, minlength=len(domains))
+    found = {}
+    for fs, k in zip(own, right):
+        for f in fs:
+            found.setdefault(f, np.zeros(len(domains)))[k] += 1
+    gains = {f: sum(c * math.log(c / (n.sum() * s / len(once))) for c, s in zip(n, sizes) if c) for f, n in found.items() if n.sum() >= mixing.MIN_DOCS}
+    kept = sorted((f for f, g in gains.items() if g >= mixing.MIN_GAIN), key=lambda f: (-gains[f], f))[:mixing.MAX_FEATURES]
+    count = np.array([found[f].sum() for f in kept] + [len(once)])
+    share = count[:-1, None] / len(once)
+    start = np.log((np.array([found[f] for f in kept]) + mixing.SHRINK * share) / ((sizes + mixing.SHRINK) * share))
+    has = np.array([[f in fs for f in kept] + [True] for fs in own], float)
+    step = 2 / ((has[:, :-1].sum() / len(once) + 1) * (count + mixing.PENALTY))
+    pull = mixing.PENALTY * (np.arange(len(count)) < len(kept))
+    x = ahead = np.vstack([start / 2, prior])
+    for t in range(mixing.STEPS):
+        e = np.exp(has @ ahead)
+        e /= e.sum(axis=1, keepdims=True)
+        e[np.arange(len(once)), right] -= 1
+        moved = ahead - step[:, None] * (has.T @ e + pull[:, None] * ahead)
+        x, ahead = moved, moved + (t + 1) / (t + 4) * (moved - x)
+    return domains, kept, x
+
+
+def plain_fit(n, p, weights):
+    """Rates of all documents: rounds on documents added up by nearly equal posteriors, then on all."""
+    def rates(p, gradients):
+        x = ahead = np.ones(len(p))
+        for t, g in enumerate(gradients):
+            moved = np.maximum(0, ahead - p @ g)
+            x, ahead = moved, moved + (t + 1) / (t + 4) * (moved - x)
+        return x, ahead
+
+    mass = n[:, None] * p
+    groups = {}
+    for key, row in zip(map(tuple, np.floor(p / mixing.PRECISION + 0.5).astype(int)), mass):
+        groups[key] = groups.get(key, 0) + row
+    binned = np.array([g for g in groups.values() if g.sum() > 0])
+    totals = binned.sum(axis=0)
+    targets = np.array(weights) / sum(weights) * totals.sum()
+    allowed = np.where(targets > 0, np.minimum(mixing.TOLERANCE * totals.sum(), mixing.NEAR_TARGET * targets), mixing.TOLERANCE * totals.sum())
+    gradients = []
+    for q, m in ((binned / binned.sum(axis=1, keepdims=True), binned), (p, mass)):
+        now, ahead = (r @ m for r in rates(q, gradients))
+        while len(gradients) < mixing.ROUNDS and (abs(now - targets) > allowed).any():
+            gradients.append((ahead - targets) / totals)
+            before = now
+            now, ahead = (r @ m for r in rates(q, gradients))
+            if (abs(now - before) <= 0.005 * allowed).all():
+                break
+    return rates(p, gradients)[0]
+
+
+@pytest.mark.parametrize("made", [False, True])
+def test_the_whole_query_against_a_plain_version(spark, tmp_path, made):
+    sf = "/root/testdata/sf0.001"
+    if made:
+        rows, sf = corpus(spark, 900, seed=3).cache(), str(tmp_path)
+        rows.select("doc_id", F.when(F.col("doc_id") % 90 != 0, F.col("text")).alias("text")).write.parquet(f"{sf}/documents.parquet")
+        rows.select("doc_id", *LABELS).filter("doc_id % 3 > 0").write.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", *queries.LABELS).collect()]
+    domains, kept, x = plain_classifier(texts, labels)
+    ids, at = sorted(texts), {f: i for i, f in enumerate(kept)}
+    has = np.zeros((len(ids), len(kept) + 1))
+    has[:, -1] = 1
+    for row, i in zip(has, ids):
+        row[[at[f] for f in set(plain_features(texts[i])) if f in at]] = 1
+    p = np.exp(has @ x)
+    p /= p.sum(axis=1, keepdims=True)
+    n = np.array([-(-len((texts[i] or "").encode()) // mixing.BYTES_PER_TOKEN) for i in ids], float)
+    rate = plain_fit(n, p, [queries.WEIGHTS.get(d, 0.0) for d in domains])
+    got = {r.doc_id: r for r in queries.op10_soft_mixing(spark, sf).collect()}
+    assert sorted(got) == ids and len(kept) > 3 and len(domains) > 2
+    for i, own, tokens, r in zip(ids, p, n, rate):
+        row = got[i]
+        assert row.n_tokens == tokens
+        assert all(abs(row["p_" + d.replace("=", "").replace(",", "_")] - v) < 1e-6 for d, v in zip(domains, own))
+        assert abs(row.rate - r) < 1e-5
+        seed = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=42)
+        seed = seed if texts[i] is None else xxhash.xxh64_intdigest(texts[i].encode(), seed=seed)
+        draw = (xxhash.xxh64_intdigest(b"copies", seed=seed) & 0xFFFFF) / (1 << 20)
+        assert row.copies in {math.floor(r + draw + d) for d in (-1e-5, 1e-5)}

@@ -6,7 +6,9 @@ import struct
 import pytest
 import zstandard
 
-from parlance.llm import warc
+from pyspark.sql import functions as F
+
+from parlance.llm import hot, queries, warc
 
 
 def digest(data):
@@ -110,3 +112,24 @@ def test_frame_with_two_records_and_huge_dictionary_header():
         warc.parse_record(data)
     cut = struct.pack("<II", warc.DICTIONARY_FRAME, 1_000) + b"x"
     assert list(warc.frames(io.BytesIO(cut))) == [(0, None, "truncated dictionary")]
+
+
+def test_frequent_payload_is_dealt_to_many_tasks(spark):
+    """A payload of two thirds of all rows, next to rarer ones: the same records."""
+    rows = [(i, f"u{i}", "<p>same</p>" if i % 3 else f"<p>{i % 50}</p>") for i in range(600)]
+    got = run(spark, rows)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.of) for r in got), key=repr) == want(rows, 0)
+    parts = spark.createDataFrame([(f"k{i}", "x") for i in range(600)], "id string, sha string")
+    keyed = spark.createDataFrame([("x", 1, 600)], "sha string, head int, n long")
+    joined = hot.join_keyed(parts, keyed, "sha", "n", [F.col("id")], "left")
+    assert joined.count() == 600 and "__part" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_query_fails_on_a_record_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "u", "<p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(warc, "read_archives", lambda archives: real(archives).withColumn("error", F.lit("frame: damaged")))
+    with pytest.raises(Exception, match="frame: damaged"):
+        queries.op1_warc_round_trip(spark, str(tmp_path)).collect()
+
+
+real = warc.read_archives
