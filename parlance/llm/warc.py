@@ -29,6 +29,7 @@ DICTIONARY_FRAME = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 ARCHIVE_BYTES = 256 << 20       # uncompressed bytes of an archive, about
 SAMPLE_BYTES = 1 << 20          # of a task's first records, for its dictionary
+MOST_READERS = 20_000      # tasks that read archives; beyond it a task reads several
 DICTIONARY_BYTES = 16 << 10
 LEVEL = 3
 RUN = 64 << 10
@@ -308,8 +309,10 @@ def read_archives(archives: DataFrame, path: str = "path", keep_payload: bool =
                 if rows:
                     yield batch_of(rows)
 
-    # One archive is one unit of work: frames tell their length only to who reads them.
-    return archives.select(F.col(path).alias("path")).repartition(F.col("path")).mapInArrow(read, schema)
+    # One archive is one unit of work: frames tell their length only to who reads them. The number of partitions is stated, since
+    # Spark would put the names, which are short, into one task.
+    paths = archives.select(F.col(path).alias("path"))
+    return paths.repartition(max(1, min(paths.count(), MOST_READERS)), "path").mapInArrow(read, schema)
 
 
 def key_of(name: str, kind: str = "long"):
